@@ -1,0 +1,19 @@
+"""Join helpers with an explicit size check before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
+    early). Beyond the bound the frame is returned unmarked and Spark plans a
+    shuffle join (sort-merge, or a runtime broadcast if adaptive execution
+    finds it small after all).
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -48,9 +48,7 @@ def guarded_ratio(num, den, scale: float = 1.0, otherwise: float | None = 0.0) -
 
 # Characters that Python's ``str.strip()`` removes: every code point for which
 # ``str.isspace()`` holds. Derived from that rule instead of listed by hand.
-_PY_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
-_SPACE_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in _PY_SPACE) + "]"
-STRIP_PATTERN = f"^{_SPACE_CLASS}+|{_SPACE_CLASS}+$"
+PY_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 # C ``isspace`` set, which the numeric parser trims around a number.
 _ASCII_SPACE = "[ \\t\\n\\u000b\\f\\r]"
@@ -67,7 +65,7 @@ def strip_text(c, missing_label: str = "nan") -> Column:
     """Text as string, Unicode white space removed at both ends, missing ->
     ``missing_label``."""
     s = _col(c).cast("string")
-    return F.coalesce(F.regexp_replace(s, STRIP_PATTERN, ""), F.lit(missing_label))
+    return F.coalesce(F.btrim(s, F.lit(PY_SPACE)), F.lit(missing_label))
 
 
 def number_from_text(c) -> Column:

@@ -49,6 +49,7 @@ SLICE_PLANS = ["1-URGENT", "2-HIGH"]
 NO_SUCH_REGION = "__no_such_region__"
 TEAM_THRESHOLD_PCT = 101.5
 TOP_N = 15
+ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +138,9 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["ml_risk_accounts"] = lambda s, d: rounded(
         ml_risk_accounts(_predictions(s, d), TOP_N), ["mrr", "forecast", "predicted", "churn"],
         ["miss_quota_prob"])
+    from quotaflow.plans.bundle import rollup_by_dimensions
+    q["aggregate_by_dimensions"] = lambda s, d: rounded(
+        rollup_by_dimensions(facts(s, d), ROLLUP_DIMENSIONS), _A3_MONEY, _A3_RATIO)
     return q
 
 
@@ -526,6 +530,23 @@ SELECT customer_name, region, industry, {r2("mrr")} AS mrr, {r2("forecast")} AS
   forecast_gap_eur, ml_risk_score
 FROM sc ORDER BY ml_risk_score DESC, customer_name, region, industry LIMIT {TOP_N}
 """
+    def _dim_sql(column: str) -> str:
+        return f"""
+SELECT '{column}' AS dimension, CAST({column} AS VARCHAR) AS value,
+  {r2("sum(total_revenue_eur)")} AS total_revenue_eur,
+  {r2("sum(monthly_recurring_revenue_eur)")} AS mrr_eur,
+  {r2("sum(expansion_revenue_eur)")} AS expansion_eur,
+  {r2("sum(renewal_revenue_eur)")} AS renewal_eur,
+  {r2("sum(churned_revenue_eur)")} AS churn_eur,
+  {r2("sum(pipeline_value_eur)")} AS pipeline_eur,
+  {r2("sum(closed_won_value_eur)")} AS closed_won_eur,
+  {r2("sum(forecasted_revenue_next_quarter)")} AS forecast_eur,
+  {r8("avg(quota_attainment_pct)")} AS avg_quota_pct,
+  {r8("avg(forecast_confidence_score)")} AS avg_confidence,
+  count(record_id) AS records
+FROM enriched GROUP BY {column}"""
+    o["aggregate_by_dimensions"] = FACTS_CTE + "\nUNION ALL\n".join(_dim_sql(c) for c in ROLLUP_DIMENSIONS)
+
     from quotaflow.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
     feats = [c for c in CATEGORICAL_FEATURES] + [c for c in NUMERIC_FEATURES if c != "month_num"]
     o["prepare_features"] = FACTS_CTE + (

@@ -5,9 +5,14 @@ customer -> nation -> region, lineitem -> part, lineitem -> supplier).
 
 Join plan, chosen for scale: ``orders`` is joined to ``customer`` first, so the
 shuffle on the customer key moves order-sized rows rather than
-lineitem-sized ones; ``nation`` and ``region`` are broadcast only after a row
-bound check; every other join is a shuffle join whose skewed partitions
-adaptive execution splits. Each table is pruned to the columns it feeds.
+lineitem-sized ones. No side is forced to broadcast: Spark broadcasts a side
+only when its estimated size is under ``spark.sql.autoBroadcastJoinThreshold``
+(file statistics at planning, actual shuffle sizes under adaptive execution)
+and otherwise plans a sort-merge join whose skewed partitions adaptive
+execution splits. ``nation`` and ``region`` always fall under the threshold;
+the fact-sized joins never do at scale. Each table is pruned to the columns it
+feeds, and the text filters of a slice are pushed below the joins to the
+dimension scans.
 """
 
 from __future__ import annotations
@@ -16,28 +21,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotaflow.functions import round_half_even
-from quotaflow.plans.joins import bounded_broadcast
 from quotaflow.schema import REQUIRED_COLUMNS
 
-# A dimension broadcast is allowed up to this many rows.
-DIMENSION_ROW_BOUND = 100_000
+# (application id, path) -> DataFrame: a table's schema is read once per
+# session, as a catalog table would be, instead of once per query.
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
-def star_join(spark: SparkSession, sf_dir: str,
-              dimension_row_bound: int = DIMENSION_ROW_BOUND) -> DataFrame:
+def clear_table_cache() -> None:
+    """Forget the table DataFrames (call after files are replaced)."""
+    _TABLES.clear()
+
+
+def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined source columns that the fact mapping reads."""
     t = lambda name: read_table(spark, sf_dir, name)
     region = t("region").select("r_regionkey", "r_name")
     nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
-    geo = nation.join(bounded_broadcast(region, dimension_row_bound),
-                      F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", "n_name", "r_name")
     customer = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    customer = customer.join(bounded_broadcast(geo, dimension_row_bound),
-                             F.col("c_nationkey") == F.col("n_nationkey"))
+    customer = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                 "o_orderdate", "o_orderpriority")
     orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))

@@ -133,3 +133,10 @@ def test_enrich_never_divides_by_zero_under_ansi(spark):
     spark.conf.set("spark.sql.ansi.enabled", "true")
     df = typed_facts(spark, [{"pipeline_value_eur": 0, "closed_won_value_eur": 10}])
     assert col_values(enrich(df), "pipeline_conversion_pct") == [0.0]
+
+
+def test_unicode_white_space_is_stripped_but_letters_kept(spark):
+    values = [" EMEA", "　EMEA ", "\x1cEMEA\x85", "EMEA "]
+    df = clean(raw_rows(spark, [{"region": v} for v in values] + [{"region": "Ärhus "},
+                                                                  {"region": " 　"}]))
+    assert sorted(col_values(df, "region")) == sorted(["EMEA"] * 4 + ["Ärhus", ""])

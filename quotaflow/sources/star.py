@@ -5,12 +5,15 @@ customer -> nation -> region, lineitem -> part, lineitem -> supplier).
 
 Join plan, chosen for scale: ``orders`` is joined to ``customer`` first, so the
 shuffle on the customer key moves order-sized rows rather than
-lineitem-sized ones. No side is forced to broadcast: Spark broadcasts a side
-only when its estimated size is under ``spark.sql.autoBroadcastJoinThreshold``
-(file statistics at planning, actual shuffle sizes under adaptive execution)
-and otherwise plans a sort-merge join whose skewed partitions adaptive
-execution splits. ``nation`` and ``region`` always fall under the threshold;
-the fact-sized joins never do at scale. Each table is pruned to the columns it
+lineitem-sized ones. The fact-to-fact join (lineitem with orders) is hinted
+as a sort-merge join: neither side is ever broadcast, whatever the
+(compressed-file) size estimate says, both are hash-partitioned on the order
+key, and adaptive execution splits a skewed key's partition. The dimension
+joins are left to Spark's size check: a side is broadcast only when its
+estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (file
+statistics at planning, actual shuffle sizes under adaptive execution), else
+it is a sort-merge join too. ``nation`` and ``region`` always fall under the
+threshold. Each table is pruned to the columns it
 feeds, and the text filters of a slice are pushed below the joins to the
 dimension scans.
 """
@@ -59,7 +62,7 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     supplier = t("supplier").select("s_suppkey", "s_name")
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lineitem.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )

@@ -93,3 +93,24 @@ def test_entry_runs(spark):
     out = entry_mod.entry(spark)
     assert out.count() > 0
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+
+
+def test_fact_join_is_never_a_broadcast_of_lineitem(spark):
+    from quotaflow.plans.inspect import plan_text
+    from quotaflow.sources.star import star_join
+
+    import re
+
+    text = plan_text(star_join(spark, SF_SMALL), "simple")
+    # lineitem meets orders in a sort-merge join on the order key: neither side broadcast
+    assert re.search(r"SortMergeJoin \[l_orderkey#\d+L\], \[o_orderkey#\d+L\]", text), text
+
+
+def test_bounded_broadcast_checks_rows(spark):
+    from quotaflow.plans.inspect import plan_text
+    from quotaflow.plans.joins import bounded_broadcast
+
+    small = spark.range(5)
+    big = spark.range(50)
+    assert "broadcast" in plan_text(bounded_broadcast(small, 10), "extended").lower()
+    assert "broadcast" not in plan_text(bounded_broadcast(big, 10), "extended").lower()

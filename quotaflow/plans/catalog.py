@@ -52,9 +52,28 @@ TOP_N = 15
 ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
 
+# (application id, sf_dir, kind) -> DataFrame. The *plan* of the fact mapping
+# is built and analysed once per session and shared by every query, as an
+# application holding its facts DataFrame would; no data is cached, so each
+# query still reads the whole tables when it runs.
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _plan(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned and enriched facts mapped from the star tables."""
-    return prepare(star_facts(spark, sf_dir))
+    return _plan(spark, sf_dir, "facts", lambda: prepare(star_facts(spark, sf_dir)))
+
+
+def dirty_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirtied star facts (FIXTURES 5), not yet cleaned."""
+    return _plan(spark, sf_dir, "dirty", lambda: dirty_star_facts(spark, sf_dir))
 
 
 def rounded(df: DataFrame, money=(), ratio=()) -> DataFrame:
@@ -82,12 +101,12 @@ def _aggregate_by(column: str):
 
 
 def _predictions(spark, d):
-    return with_standin_predictions(facts(spark, d))
+    return _plan(spark, d, "standin", lambda: with_standin_predictions(facts(spark, d)))
 
 
 def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    q["clean_dirty"] = lambda s, d: clean(dirty_star_facts(s, d))
+    q["clean_dirty"] = lambda s, d: clean(dirty_facts(s, d))
     q["enrich_facts"] = facts
     q["filter_slice"] = lambda s, d: apply_filters(facts(s, d), regions=SLICE_REGIONS, plans=SLICE_PLANS)
     q["filter_options"] = lambda s, d: filter_options(facts(s, d))

@@ -180,3 +180,18 @@ def test_top_accounts_limit_and_order(spark):
     rows = [{"customer_name": f"c{i}", "monthly_recurring_revenue_eur": i} for i in range(20)]
     out = high_revenue_accounts(typed_facts(spark, rows), top_n=3).collect()
     assert [r["customer_name"] for r in out] == ["c19", "c18", "c17"]
+
+
+def test_missing_path_raises(spark):
+    from pyspark.errors import AnalysisException
+
+    from quotaflow.sources import load_revenue
+
+    with pytest.raises(AnalysisException):
+        load_revenue(spark, "/nonexistent/folder/revenue.csv")
+
+
+def test_quality_report_approx_counts(spark):
+    rows = [{"record_id": str(i), "region": f"R{i % 3}", "product_line": f"P{i % 2}"} for i in range(12)]
+    q = quality_report(typed_facts(spark, rows), approx=True).first()
+    assert (q["rows"], q["regions"], q["products"], q["teams"]) == (12, 3, 2, 1)

@@ -57,8 +57,8 @@ NUMBER_PATTERN = (
     f"^{_ASCII_SPACE}*[+-]?(?:(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
     f"|(?i:inf|infinity)){_ASCII_SPACE}*$"
 )
-# A month as ``YYYY-M`` or ``YYYY-MM``, nothing around it.
-MONTH_PATTERN = "^[0-9]{4}-[0-9]{1,2}$"
+# A month as ``YYYY-M`` or ``YYYY-MM`` (month 1-12), nothing around it.
+MONTH_PATTERN = "^[0-9]{4}-(0?[1-9]|1[0-2])$"
 
 
 def strip_text(c, missing_label: str = "nan") -> Column:
@@ -85,9 +85,17 @@ def zero_filled(c) -> Column:
 
 def month_from_text(c) -> Column:
     """``YYYY-MM`` (or ``YYYY-M``) -> first day of that month; anything else
-    -> NULL."""
+    -> NULL.
+
+    The pattern admits exactly the texts a ``yyyy-M`` date parser accepts
+    (year 0001-9999, month 1-12, optional leading zero); the date is then
+    built from the two integers, which is several times cheaper per row than
+    a formatter parse.
+    """
     s = _col(c).cast("string")
-    return F.when(s.rlike(MONTH_PATTERN), F.try_to_date(s, "yyyy-M"))
+    year = F.substring(s, 1, 4)
+    valid = s.rlike(MONTH_PATTERN) & (year != F.lit("0000"))
+    return F.when(valid, F.make_date(year.cast("int"), F.substring_index(s, "-", -1).cast("int"), F.lit(1)))
 
 
 # --- fixed values: forecast-confidence bins and labels --------------------

@@ -86,7 +86,8 @@ def _fact_columns() -> dict[str, Column]:
         "account_executive": F.col("s_name"),
         "customer_name": F.col("c_name"),
         "industry": F.col("c_mktsegment"),
-        "reporting_month": F.substring(F.col("o_orderdate").cast("string"), 1, 7),
+        # the first 7 characters of the order date as text, i.e. YYYY-MM
+        "reporting_month": F.date_format(F.col("o_orderdate"), "yyyy-MM"),
         "subscription_plan": F.col("o_orderpriority"),
         "monthly_recurring_revenue_eur": _r2(price * (F.lit(1.0) - F.col("l_discount"))),
         "expansion_revenue_eur": _r2(price * F.col("l_tax")),

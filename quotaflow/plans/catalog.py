@@ -9,6 +9,7 @@ over the same Parquet tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,15 @@ from quotaflow.operators import (
     top_metrics,
     underperforming_teams,
 )
-from quotaflow.sources import dataset_fingerprint, dirty_star_facts, star_facts, with_standin_predictions
+from quotaflow.session import ensure_checkpoint_dir
+from quotaflow.sources import (
+    dataset_fingerprint,
+    dirty_star_facts,
+    materialize_facts,
+    star_facts,
+    with_standin_predictions,
+)
+from quotaflow.sources.star import clear_table_cache
 
 # Parameters of the registered queries.
 SLICE_REGIONS = ["ASIA", "EUROPE"]
@@ -52,10 +61,12 @@ TOP_N = 15
 ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
 
-# (application id, sf_dir, kind) -> DataFrame. The *plan* of the fact mapping
-# is built and analysed once per session and shared by every query, as an
-# application holding its facts DataFrame would; no data is cached, so each
-# query still reads the whole tables when it runs.
+# Session setting: "true" (default) writes the facts table once per session
+# and serves every view from it; "false" plans each view from the star tables.
+FACTS_TABLE_CONF = "quotaflow.facts.table"
+
+# (application id, sf_dir, kind) -> DataFrame, shared by every query of a
+# session, as an application holding its facts DataFrame would.
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -66,11 +77,47 @@ def _plan(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
     return _PLANS[key]
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned and enriched facts mapped from the star tables."""
+def reset_plans() -> None:
+    """Forget the shared plans and facts tables (after the files change)."""
+    _PLANS.clear()
+    clear_table_cache()
+
+
+def facts_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned and enriched facts planned from the star tables (the 7-table
+    join runs again with every action)."""
     return _plan(spark, sf_dir, "facts", lambda: prepare(star_facts(spark, sf_dir)))
 
 
+def facts_table_path(spark: SparkSession, sf_dir: str) -> str | None:
+    """Where this session keeps the facts of ``sf_dir``: under the shared
+    checkpoint folder, one table per application and source folder; None
+    when the session names no checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        return None
+    digest = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}/{digest}"
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned and enriched facts mapped from the whole star tables.
+
+    By default the mapping runs once per session and is written as a Parquet
+    table under the shared checkpoint folder (S6 at scale); every view then
+    scans that table with its columns pruned and filters pushed down instead
+    of re-running the 7-table join. Without a checkpoint folder, or with
+    ``quotaflow.facts.table=false``, the views are planned from the star
+    tables.
+    """
+    if spark.conf.get(FACTS_TABLE_CONF, "true").lower() == "true":
+        path = facts_table_path(spark, sf_dir)
+        if path:
+            return _plan(spark, sf_dir, "facts_table",
+                         lambda: materialize_facts(facts_plan(spark, sf_dir), path))
+    return facts_plan(spark, sf_dir)
+
+
 def dirty_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirtied star facts (FIXTURES 5), not yet cleaned."""
     return _plan(spark, sf_dir, "dirty", lambda: dirty_star_facts(spark, sf_dir))

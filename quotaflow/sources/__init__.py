@@ -6,6 +6,7 @@ from quotaflow.sources.revenue import (
     SchemaError,
     dataset_fingerprint,
     load_revenue,
+    materialize_facts,
     persist_facts,
     read_revenue_csv,
     validate_schema,
@@ -14,6 +15,6 @@ from quotaflow.sources.star import dirty_star_facts, star_facts, star_join, with
 
 __all__ = [
     "DEFAULT_NA_VALUES", "SchemaError", "dataset_fingerprint", "dirty_star_facts", "load_revenue",
-    "persist_facts", "read_revenue_csv", "star_facts", "star_join", "validate_schema",
-    "with_standin_predictions",
+    "materialize_facts", "persist_facts", "read_revenue_csv", "star_facts", "star_join",
+    "validate_schema", "with_standin_predictions",
 ]

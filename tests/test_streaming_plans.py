@@ -114,3 +114,28 @@ def test_bounded_broadcast_checks_rows(spark):
     big = spark.range(50)
     assert "broadcast" in plan_text(bounded_broadcast(small, 10), "extended").lower()
     assert "broadcast" not in plan_text(bounded_broadcast(big, 10), "extended").lower()
+
+
+def test_facts_table_is_written_once_and_pruned(spark):
+    from quotaflow.plans.catalog import FACTS_TABLE_CONF, facts_plan
+    from quotaflow.plans.inspect import plan_text
+
+    table = facts(spark, SF_SMALL)
+    assert facts(spark, SF_SMALL) is table  # one table per session and folder
+    assert table.inputFiles()
+    assert all("quotaflow-facts" in f for f in table.inputFiles())
+    view = revenue_by_region(apply_filters(table, regions=["ASIA"]))
+    text = plan_text(view, "formatted")
+    assert "Join" not in text  # the views no longer re-run the fact mapping
+    assert "ReadSchema: struct<region:string,churned_revenue_eur" in text  # pruned columns
+    assert "In(region" in " ".join(pushed_filters(view)) or "EqualTo(region" in " ".join(pushed_filters(view))
+
+    planned = facts_plan(spark, SF_SMALL)
+    assert planned.schema.simpleString() == table.schema.simpleString()
+    assert planned.exceptAll(table).isEmpty() and table.exceptAll(planned).isEmpty()
+
+    spark.conf.set(FACTS_TABLE_CONF, "false")
+    try:
+        assert facts(spark, SF_SMALL) is planned
+    finally:
+        spark.conf.unset(FACTS_TABLE_CONF)

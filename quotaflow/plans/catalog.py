@@ -148,7 +148,8 @@ def _aggregate_by(column: str):
 
 
 def _predictions(spark, d):
-    return _plan(spark, d, "standin", lambda: with_standin_predictions(facts(spark, d)))
+    base = facts(spark, d)  # the table or the plan, as the session is set
+    return _plan(spark, d, f"standin-{id(base)}", lambda: with_standin_predictions(base))
 
 
 def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

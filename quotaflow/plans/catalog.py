@@ -10,6 +10,7 @@ over the same Parquet tables.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,8 @@ TOP_N = 15
 ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
 
+_LOG = logging.getLogger(__name__)
+
 # Session setting: "true" (default) writes the facts table once per session
 # and serves every view from it; "false" plans each view from the star tables.
 FACTS_TABLE_CONF = "quotaflow.facts.table"
@@ -113,8 +116,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     if spark.conf.get(FACTS_TABLE_CONF, "true").lower() == "true":
         path = facts_table_path(spark, sf_dir)
         if path:
-            return _plan(spark, sf_dir, "facts_table",
-                         lambda: materialize_facts(facts_plan(spark, sf_dir), path))
+            try:
+                return _plan(spark, sf_dir, "facts_table",
+                             lambda: materialize_facts(facts_plan(spark, sf_dir), path))
+            except Exception as exc:  # e.g. a read-only checkpoint folder: same rows from the plan
+                _LOG.warning("facts table at %s not written (%s); planning from the star tables",
+                             path, exc)
     return facts_plan(spark, sf_dir)
 
 

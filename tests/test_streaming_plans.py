@@ -139,3 +139,19 @@ def test_facts_table_is_written_once_and_pruned(spark):
         assert facts(spark, SF_SMALL) is planned
     finally:
         spark.conf.unset(FACTS_TABLE_CONF)
+
+
+def test_facts_fall_back_to_the_plan_when_the_table_cannot_be_written(spark, monkeypatch):
+    import quotaflow.plans.catalog as catalog
+
+    def fail(df, path):
+        raise OSError("read-only folder")
+
+    monkeypatch.setattr(catalog, "materialize_facts", fail)
+    other = SF_SMALL + "/"  # a new key: nothing cached for it yet
+    try:
+        got = catalog.facts(spark, other)
+        assert got is catalog.facts_plan(spark, other)
+        assert got.count() == catalog.facts_plan(spark, SF_SMALL).count()
+    finally:
+        catalog._PLANS.pop((spark.sparkContext.applicationId, other, "facts"), None)

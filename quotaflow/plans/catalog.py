@@ -103,6 +103,23 @@ def facts_table_path(spark: SparkSession, sf_dir: str) -> str | None:
     return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}/{digest}"
 
 
+def drop_facts_tables(spark: SparkSession) -> bool:
+    """Delete this application's facts tables from the checkpoint folder and
+    forget them (the next ``facts`` call writes a fresh one). Uses the
+    session's Hadoop file system, so it works on shared storage too. Returns
+    whether a folder was deleted."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _PLANS if k[0] == app and (k[2] == "facts_table" or k[2].startswith("standin-"))]:
+        _PLANS.pop(key, None)
+    base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        return False
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quotaflow-facts/{app}")
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    return bool(fs.exists(folder) and fs.delete(folder, True))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned and enriched facts mapped from the whole star tables.
 

@@ -155,3 +155,18 @@ def test_facts_fall_back_to_the_plan_when_the_table_cannot_be_written(spark, mon
         assert got.count() == catalog.facts_plan(spark, SF_SMALL).count()
     finally:
         catalog._PLANS.pop((spark.sparkContext.applicationId, other, "facts"), None)
+
+
+def test_drop_facts_tables_removes_this_applications_tables(spark):
+    import os
+
+    from quotaflow.plans.catalog import drop_facts_tables, facts_table_path
+
+    first = facts(spark, SF_SMALL)
+    local = facts_table_path(spark, SF_SMALL).removeprefix("file:")
+    assert os.path.isdir(local)
+    assert drop_facts_tables(spark)
+    assert not os.path.exists(local)
+    again = facts(spark, SF_SMALL)  # written afresh for later users of the session
+    assert again is not first and os.path.isdir(local)
+    assert again.count() == first.sparkSession.read.parquet(local).count()

@@ -99,7 +99,8 @@ def facts_table_path(spark: SparkSession, sf_dir: str) -> str | None:
     base = ensure_checkpoint_dir(spark)
     if not base:
         return None
-    digest = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    # the same string as the plan key: one table per key, never overwritten under a live reader
+    digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
     return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}/{digest}"
 
 

@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import hashlib
+
+from quotaflow.llm.chat import END, ORACLE_OP6, TEXT, op6_chat_formatting, prefix_target_examples, read_back, unescape
+from tests.llm.helpers import SMALL, TURNS, collected, oracle
+
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_query_against_sql(spark):
+    want = sorted(oracle(ORACLE_OP6, SMALL, "conversations"), key=lambda r: r["conv_id"])
+    assert collected(op6_chat_formatting(spark, SMALL), "conv_id") == want
+    planted = next(r for r in want if r["conv_id"] == -7)
+    text = "</s>[INST] ok [/INST]"
+    assert planted["turns_sha256"] == sha(f"user\n{text}\nassistant\n{text}\n") and planted["loss_sha256"] == sha(text)
+
+
+def test_each_reply_is_the_target_of_one_example(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u\\<|end|>"), (1, 2, "assistant", "a\\l[x]<"), (1, 3, "user", "v"), (1, 4, "assistant", "b")]
+    got = collected(prefix_target_examples(spark.createDataFrame(rows, TURNS)), "example")
+    assert [len(r["context"].split(END)) - 1 for r in got] == [2, 4]
+    assert got[1]["context"] == got[0]["context"] + got[0]["target"] + got[1]["context"][len(got[0]["context"] + got[0]["target"]):]
+    assert all(r["target"].split(TEXT)[1] == r["reply"] + END for r in got)
+    df = spark.createDataFrame([(r["reply"],) for r in got], "reply string")
+    assert [r[0] for r in df.select(unescape(df["reply"])).collect()] == ["a\\l[x]<", "b"]
+
+
+def test_escaping_round_trip(spark):
+    odd = ["", "\\", "\\\\l", "\\b", "\\k[<", "<|role|>", "<|end|>", "a\n<|text|>", "é😀\\<", "<" * 50, "\\l\\b\\k"]
+    rows = [(i, j, r, t) for i, t in enumerate(odd) for j, r in enumerate(["user", "assistant", "we<|text|>ird\\"])]
+    got = collected(read_back(prefix_target_examples(spark.createDataFrame(rows, TURNS))), "conv_id")
+    for r, t in zip(got, odd, strict=True):
+        assert r["n_turns"] == 3
+        assert r["turns_sha256"] == sha("".join(f"{x}\n{t}\n" for x in ["user", "assistant", "we<|text|>ird\\"]))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(t), sha(t))
+
+
+def test_nulls_ties_no_reply_empty_and_clashing_columns(spark):
+    rows = [(None, None, None, None), (2, 0, "user", "x"), (3, 0, "assistant", None), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
+    df = spark.createDataFrame(rows, TURNS).selectExpr("*", "1 AS t", "2 AS example", "3 AS replies", "'z' AS formatted")
+    got = {r["conv_id"]: r for r in collected(read_back(prefix_target_examples(df)), "conv_id")}
+    assert {k: (r["n_turns"], r["loss_chars"]) for k, r in got.items()} == {None: (1, 0), 2: (1, 0), 3: (3, 2)}
+    assert got[None]["turns_sha256"] == sha("\n\n") and got[2]["loss_sha256"] == sha("")
+    assert read_back(prefix_target_examples(df.limit(0))).count() == 0
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " * 20) for i in range(400)]
+    r = read_back(prefix_target_examples(spark.createDataFrame(rows, TURNS))).first()
+    assert r["n_turns"] == 400 and r["loss_sha256"] == sha("".join(t for _, i, _, t in rows if i % 2))

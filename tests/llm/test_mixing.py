@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from quotaflow.llm.mixing import mix_sources, mixed_rows, op9_mixing, source_targets
+from tests.llm.helpers import DOCS, SMALL, documents
+
+
+def targets(sizes):
+    """Shares by weight; what a full source leaves is shared again, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    full, goal = set(), 1.5 * sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        left = goal - sum(2 * sizes[s] for s in full)
+        total = sum(weight[s] for s in open_)
+        out = {s: 2.0 * sizes[s] if s in full else left * weight[s] / total for s in order}
+        above = {s for s in open_ if out[s] >= 2 * sizes[s]}
+        if not above:
+            return out
+        full |= above
+
+
+def check(rows, docs):
+    words = [(d, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for d, t, s in docs]
+    sizes = defaultdict(int)
+    for _, n, s in words:
+        sizes[s] += n
+    want, taken, longest = targets(sizes), defaultdict(int), defaultdict(int)
+    source = {d: s for d, _, s in words}
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(d), n) for d, n, _ in words)
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s], abs=1e-6)
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["size"] * len(r["shards"])
+        taken[s] += r["taken"]
+        longest[s] = max(longest[s], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 2 * longest[s] + 1, s
+
+
+def test_query_and_rerun(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows = op9_mixing(spark, SMALL).collect()
+    check(rows, docs)
+    assert sorted(map(str, op9_mixing(spark, SMALL).collect())) == sorted(map(str, rows))
+
+
+def test_water_level(spark):
+    for sizes in ({"a": 10, "b": 1000, "c": 5, None: 300}, {"a": 7}, {"a": 0, "b": 0}, {"a": 0, "b": 9, "é": 1, "z": 10_000}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        assert {r["source"]: r["target"] for r in source_targets(df).collect()} == pytest.approx(targets(sizes))
+
+
+def test_many_documents_hot_source_and_shards(spark):
+    docs = documents(spark, [(f"w{i} " * (1 + i % 9), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(4000)])
+    rows = mix_sources(docs, shards=8).collect()
+    check(rows, [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    load = Counter(s for r in rows for s in r["shards"])
+    assert sorted(load) == list(range(8)) and max(load.values()) < 1.5 * min(load.values())
+
+
+def test_rows_of_the_mix(spark):
+    docs = documents(spark, [(f"w{i} " * 5, "en", f"s{i % 4}") for i in range(300)]).selectExpr("*", "1 AS size", "2 AS shard", "3 AS `a.b`", "4 AS row")
+    plan = {r["doc_id"]: len(r["shards"]) for r in mix_sources(docs).collect()}
+    out = mixed_rows(docs)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter({d: n for d, n in plan.items() if n})
+
+
+def test_nulls_repeats_and_empty(spark):
+    rows = [(None, None, None, None, None), (1, "a b", "x", None, 1), (1, "a b", "x", None, 1), (2, "", "x", "s", 0), (3, "c\x0b\xa0d", "x", "t", 3)]
+    got = mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    check(got, [(r[0], r[1], r[3]) for r in rows])
+    assert mix_sources(spark.createDataFrame([], DOCS)).count() == 0
+    assert mixed_rows(spark.createDataFrame([], DOCS)).count() == 0

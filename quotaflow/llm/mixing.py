@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A document's permutation key is a seeded hash. The key's leading bits cut a
-source into blocks in a random order. A source's target gives whole passes over
+source into blocks in a random order, more of them the larger the source. A source's target gives whole passes over
 its blocks and one partial pass: the blocks (then, inside the last block, ever
 finer slices of the key) that come first in the permutation. The taken blocks are
 dealt to the output shards by a binary tree: at every node a seeded permutation
@@ -24,9 +24,11 @@ from .common import table, written
 WEIGHTS = (3, 1, 2)
 #: The mix holds this share of all words; no source is taken more often than CAP times.
 SHARE, CAP = 1.5, 2.0
-#: Bits of the key that number a source's blocks, and of each finer slice of the last block.
-BLOCK_BITS, SLICE_BITS = 5, 8
-SLICES = 4
+#: Bits of the key that place a row in its source's permutation, by digits of these widths.
+DIGITS = (5, 8, 8, 8)
+PLACE_BITS = sum(DIGITS)
+#: About so many blocks hold all sources; a source has a power of two, one at least.
+BLOCKS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,11 +36,12 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")), F.lit(seed))
 
 
+def _place() -> Column:
+    return F.shiftrightunsigned("mix_key", 64 - PLACE_BITS)
+
+
 def _digit(level: int) -> Column:
-    """Level 0: the block; level 1, 2, ...: the slice inside the slice before."""
-    if level == 0:
-        return F.shiftrightunsigned("mix_key", 64 - BLOCK_BITS).cast("int")
-    return F.shiftrightunsigned("mix_key", 64 - BLOCK_BITS - level * SLICE_BITS).bitwiseAND((1 << SLICE_BITS) - 1).cast("int")
+    return F.shiftright(_place(), sum(DIGITS[level + 1:])).bitwiseAND((1 << DIGITS[level]) - 1).cast("int")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -56,14 +59,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     water = left / F.sum("weight").over(fill.rowsBetween(W.currentRow, W.unboundedFollowing))
     return (ranked.withColumn("water", water).withColumn("water", F.max("water").over(every))
-            .select("source", "source_size", F.least("cap", F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target")))
+            .withColumn("bits", F.coalesce(F.round(F.log2(F.greatest(
+                F.col("source_size") * BLOCKS / F.sum("source_size").over(every), F.lit(1.0)))), F.lit(0)).cast("int"))
+            .select("source", "source_size", F.least("cap", F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"), "bits"))
 
 
 def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row a source: passes over all of it, and the key digits where its partial pass ends."""
+    """A row a source: passes over all of it, and the place where its partial pass ends."""
     cuts = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumnRenamed("source", "cut_source")
-    for level in range(SLICES):
+    for level in range(len(DIGITS)):
         inside = reduce(lambda a, k: a & (_digit(k) == F.col(f"cut{k}")), range(level), F.lit(True))
         rows = sized if level == 0 else sized.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & inside)
         sums = rows.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words"))
@@ -75,21 +80,15 @@ def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
                                               F.coalesce(F.max("upto"), F.lit(0)).alias("done"))
                 .withColumn("rest", F.col("rest") - F.col("done")).drop("done"))
         cuts = written(cuts, "mix-cuts")
-    return cuts.drop("rest")
-
-
-def _extra() -> Column:
-    """1 where the row's key lies before its source's end of the partial pass."""
-    before = F.lit(False)
-    for level in reversed(range(SLICES)):
-        before = (_digit(level) < F.col(f"cut{level}")) | ((_digit(level) == F.col(f"cut{level}")) & before)
-    return before.cast("int")
+    place = sum((F.col(f"cut{k}").cast("long") * (1 << sum(DIGITS[k + 1:])) for k in range(len(DIGITS))), F.lit(0))
+    return cuts.select("cut_source", "source_size", "target", "bits", "passes", place.alias("cut"))
 
 
 def _tree(cuts: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, block) to the shards of its copies: first pass, second pass, ..."""
-    blocks = cuts.select("cut_source", "passes", "cut0", F.explode(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))).alias("block"))
-    copies = F.col("passes") + (F.col("block") <= F.col("cut0")).cast("int")
+    blocks = cuts.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, bits) - 1"))))
+    started = F.expr(f"shiftleft(cast(block AS bigint), {PLACE_BITS} - bits) < cut")
+    copies = F.col("passes") + started.cast("int")
     quota = (blocks.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
              .select("cut_source", "block", "copy", F.lit(0).alias("low"), F.lit(shards).alias("high")))
     for level in range(max(shards - 1, 0).bit_length()):
@@ -122,7 +121,8 @@ def with_times(rows: DataFrame, cuts: DataFrame, tree: DataFrame) -> DataFrame:
     """``rows`` (source, mix_key, ...) with source_size, target, times and shards."""
     own = rows.columns
     return (rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-            .withColumn("times", (F.col("passes") + _extra()).cast("int")).withColumn("mix_block", _digit(0))
+            .withColumn("times", (F.col("passes") + (_place() < F.col("cut")).cast("int")).cast("int"))
+            .withColumn("mix_block", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(mix_key, {64 - PLACE_BITS}), {PLACE_BITS} - bits) AS int)"))
             .join(tree, F.col("source").eqNullSafe(F.col("tree_source")) & (F.col("mix_block") == F.col("tree_block")), "left")
             .select(*own, "source_size", "target", "times",
                     F.slice(F.coalesce("tree_shards", F.array().cast("array<int>")), 1, F.col("times")).alias("shards")))

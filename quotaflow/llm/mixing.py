@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     water = left / F.sum("weight").over(fill.rowsBetween(W.currentRow, W.unboundedFollowing))
     return (ranked.withColumn("water", water).withColumn("water", F.max("water").over(every))
             .withColumn("bits", F.coalesce(F.round(F.log2(F.greatest(
-                F.col("source_size") * BLOCKS / F.sum("source_size").over(every), F.lit(1.0)))), F.lit(0)).cast("int"))
+                F.try_divide(F.col("source_size") * BLOCKS, F.sum("source_size").over(every)), F.lit(1.0)))), F.lit(0)).cast("int"))
             .select("source", "source_size", F.least("cap", F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"), "bits"))
 
 

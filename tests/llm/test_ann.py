@@ -4,7 +4,7 @@ import numpy as np
 
 from quotaflow.llm.ann import index_blocks, nearest_neighbours, op3_nearest_neighbours
 from quotaflow.llm.tiles import valid_vectors
-from tests.llm.helpers import SMALL, VECTORS, collected
+from helpers import SMALL, VECTORS, collected
 
 
 def brute(rows, queries, k=5):

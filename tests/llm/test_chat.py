@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 from quotaflow.llm.chat import END, ORACLE_OP6, TEXT, op6_chat_formatting, prefix_target_examples, read_back, unescape
-from tests.llm.helpers import SMALL, TURNS, collected, oracle
+from helpers import SMALL, TURNS, collected, oracle
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 

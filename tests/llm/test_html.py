@@ -6,7 +6,7 @@ import re
 import pytest
 
 from quotaflow.llm.html import extract_text, op1_html_extraction, parse
-from tests.llm.helpers import PAGES, SMALL, collected
+from helpers import PAGES, SMALL, collected
 
 pytestmark = pytest.mark.usefixtures("spark")
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quotaflow.llm.mixing import mix_sources, mixed_rows, op9_mixing, source_targets
-from tests.llm.helpers import DOCS, SMALL, documents
+from helpers import DOCS, SMALL, documents
 
 
 def targets(sizes):

@@ -4,7 +4,7 @@ import numpy as np
 
 from quotaflow.llm.neardup_vectors import ORACLE_OP4, embedding_components, linked, op4_embedding_neardup, quantise
 from quotaflow.llm.tiles import units
-from tests.llm.helpers import SMALL, VECTORS, collected, oracle
+from helpers import SMALL, VECTORS, collected, oracle
 
 
 def brute(rows, threshold=0.98):

@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 from quotaflow.llm.sharding import op2_sharding, shard_records
-from tests.llm.helpers import DOCS, SMALL, documents
+from helpers import DOCS, SMALL, documents
 
 
 def check(rows, docs, shards=16):

@@ -143,8 +143,9 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of ``docs`` with their own columns, each as often
     as it is taken, grouped by output shard and shuffled inside it."""
     _, cuts, tree = mix_plan(docs, shards, seed)
-    own = [F.col(f"row.{c}" if c.isidentifier() else f"row.`{c}`").alias(c) for c in docs.columns]
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"),
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    own = [F.col(f"row.{q}").alias(c) for q, c in zip(names, docs.columns, strict=True)]
+    held = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"),
                        F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.lit(seed)).alias("mix_key"))
     dealt = (with_times(held, cuts, tree).select("row", "mix_key", F.posexplode("shards").alias("copy", "shard"))
              .withColumn("order", F.xxhash64("mix_key", "copy", F.lit(seed))))

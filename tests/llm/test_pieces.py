@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from quotaflow.llm.pieces import MODEL, PieceModel, encode_pieces, op7_sentencepiece, piece_digests
+from helpers import DOCS, SMALL, collected, documents
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(public_tokenizers.path(MODEL), "rb") as f:
+        return PieceModel(f.read())
+
+
+def same(model, library, text):
+    ids = library.encode(text, add_eos=True)
+    raw, decoded = model.encode(text)
+    return memoryview(raw).cast("i").tolist() == ids and decoded == library.decode(ids)
+
+
+ODD = ["", " ", "  ", "a", " a ", "a  b   c", "▁", "▁▁a", "a▁ ▁b", "\n", "\n\n a\n", "a\tb\r\nc", "\x00", "<s>", "</s><unk>", "<0x0A>", "é", "ﬁ １²",
+       "日本語テキスト", "😀👩‍👩‍👧", "​ x", "a" * 5000, "." * 300, " " * 100, "don't stop-me_now(1,2)", "퟿￿", "⁇ ⁇", "x y"]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_odd_texts(model, library, text):
+    assert same(model, library, text)
+
+
+def test_random_texts(model, library):
+    rng = random.Random(5)
+    pool = "aeinrst   ,.'\n▁éü0١ß日😀\x01" + "".join(rng.choice(model.text[300:]) for _ in range(200))
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 80)))
+        assert same(model, library, text), text
+    model.check()
+
+
+def test_check_finds_a_wrong_segment(model):
+    own = PieceModel(model.library.serialized_model_proto())
+    own.rank = {p: -r for p, r in own.rank.items()}
+    own.encode("the other merges")
+    with pytest.raises(ValueError, match="the library encodes"):
+        own.check()
+
+
+def test_query_against_the_library(spark, library):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for r in sorted(spark.read.parquet(f"{SMALL}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = library.encode(r["text"] or "", add_eos=True)
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
+    assert [tuple(r.values()) for r in collected(op7_sentencepiece(spark, SMALL), "doc_id")] == want
+
+
+def test_nulls_repeats_empty_and_clashing_columns(spark, library):
+    df = documents(spark, [None, "", "same", "same", "long " * 100_000]).selectExpr("*", "1 AS ids", "2 AS row", "3 AS decoded", "4 AS `a.b`")
+    got = collected(encode_pieces(df, keep=("doc_id", "row", "a.b")), "doc_id")
+    assert [r["ids"] for r in got[:4]] == [[2], [2], library.encode("same", add_eos=True), library.encode("same", add_eos=True)]
+    assert got[4]["decoded"] == "long " * 100_000 and got[4]["ids"] == library.encode("long " * 100_000, add_eos=True)
+    assert got[0]["row"] == 2 and got[0]["a.b"] == 4
+    empty = spark.createDataFrame([], DOCS)
+    assert piece_digests(encode_pieces(empty)).count() == 0

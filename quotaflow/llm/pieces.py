@@ -181,7 +181,7 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, keep: tuple[st
         proto = f.read()
     names = [f"`{c.replace('`', '``')}`" for c in keep]
     rows = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType().add("row", rows.schema["row"].dataType).add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType().add("row", rows.schema["row"].dataType).add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return rows.mapInArrow(_encoder(proto), schema).select(*[F.col(f"row.{c}") for c in names], "ids", "decoded")
 
 

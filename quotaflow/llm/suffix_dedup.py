@@ -124,6 +124,8 @@ def _index_rows(ranges: int):
         key = (_range_of(h, ranges) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        key, doc = key[once], doc[once]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(key)))
@@ -220,33 +222,35 @@ def _scan_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return _by_doc(docs, keys.astype(np.uint64) | np.uint64(part << 32))
 
 
-WINDOWS = ["part", "docs", "rids", "starts", "sizes", "backs", "keys", "bytes"]
-WINDOWS_SCHEMA = "part long, docs binary, rids binary, starts binary, sizes binary, backs binary, keys binary, bytes binary"
+WINDOWS = ["part", "docs", "rids", "starts", "lasts", "sizes", "backs", "keys", "bytes"]
+WINDOWS_SCHEMA = "part long, docs binary, rids binary, starts binary, lasts binary, sizes binary, backs binary, keys binary, bytes binary"
 
 
 def _window_rows(ranges: int):
     """Pass 2: the bytes around each hit, by key range. Of equal contexts inside a flush
-    those of the smallest doc_id go on, the others are repeats (negative ranges)."""
+    those of the smallest doc_id go on, the others are repeats (negative ranges).
+    A context's places in a text that lie at most SPAN apart (periodic texts) are one
+    row from the first to the last: for each window, their spans join."""
     def packed(part: int, rows: list[tuple]) -> tuple:
-        """rows: (doc_id, rid, start, bytes, back, key)"""
-        longs = [np.array([r[i] for r in rows], np.int64).tobytes() for i in range(3)]
-        return (part, *longs, np.array([len(r[3]) for r in rows], np.int64).tobytes(), np.array([r[4] for r in rows], np.uint8).tobytes(),
-                np.array([r[5] for r in rows], np.uint32).tobytes(), b"".join([r[3] for r in rows]))
+        """rows: (doc_id, rid, first place, last place, bytes, back, key)"""
+        longs = [np.array([r[i] for r in rows], np.int64).tobytes() for i in range(4)]
+        return (part, *longs, np.array([len(r[4]) for r in rows], np.int64).tobytes(), np.array([r[5] for r in rows], np.uint8).tobytes(),
+                np.array([r[6] for r in rows], np.uint32).tobytes(), b"".join([r[4] for r in rows]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple[int, list]] = {}  # (key, back, bytes) -> doc_id, its (rid, start)
-        done: list[tuple[int, int, int, int]] = []  # doc_id, rid, start, length
+        held: dict[tuple, tuple[int, list]] = {}  # (key, back, bytes) -> doc_id, its [rid, first, last]
+        done: list[tuple[int, int, int, int, int]] = []  # doc_id, rid, first, last, length
 
         def flush() -> pd.DataFrame | None:
             by_part: dict[int, list[tuple]] = {}
             for (key, back, context), (doc, places) in held.items():
-                by_part.setdefault(key >> 32, []).extend((doc, rid, at, context, back, key & 0xFFFFFFFF) for rid, at in places)
+                by_part.setdefault(key >> 32, []).extend((doc, *x, context, back, key & 0xFFFFFFFF) for x in places)
             out = [packed(p, rows) for p, rows in by_part.items()]
-            every = np.array(done, np.int64).reshape(-1, 4)
+            every = np.array(done, np.int64).reshape(-1, 5)
             spread = every[:, 0] % ranges
             for p in np.unique(spread):
                 m = every[spread == p]
-                out.append((-1 - int(p), *(np.ascontiguousarray(m[:, i]).tobytes() for i in range(4)), b"", b"", b""))
+                out.append((-1 - int(p), *(np.ascontiguousarray(m[:, i]).tobytes() for i in range(5)), b"", b"", b""))
             held.clear()
             done.clear()
             return pd.DataFrame(out, columns=WINDOWS) if out else None
@@ -262,15 +266,17 @@ def _window_rows(ranges: int):
             begin = np.concatenate([[0], ends[:-1]]).tolist()
             for i, s, m, p, k in zip(*(x[take].tolist() for x in (text, first, n, at, key)), strict=True):
                 r, stop = rows[i][0], s + m + SPAN - 1
-                same, place = (k, p - s, raw[s:stop]), (r.rid, s - begin[i])
+                same, at_text = (k, p - s, raw[s:stop]), s - begin[i]
                 doc, places = held.setdefault(same, (r.doc_id, []))
-                if doc > r.doc_id:
+                if doc < r.doc_id:
+                    done.append((r.doc_id, r.rid, at_text, at_text, stop - s))
+                elif doc > r.doc_id:
                     done.extend((doc, *x, stop - s) for x in places)
-                    held[same] = (r.doc_id, [place])
-                elif doc == r.doc_id:
-                    places.append(place)
+                    held[same] = (r.doc_id, [[r.rid, at_text, at_text]])
+                elif places and places[-1][0] == r.rid and 0 <= at_text - places[-1][2] <= SPAN:
+                    places[-1][2] = at_text
                 else:
-                    done.append((r.doc_id, *place, stop - s))
+                    places.append([r.rid, at_text, at_text])
             if last and (out := flush()) is not None:
                 yield out
     return run
@@ -299,9 +305,9 @@ def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
     def column(name, kind):
         return np.frombuffer(b"".join(pdf[name]), kind)
 
-    docs, rids, starts, sizes = (column(c, np.int64) for c in ("docs", "rids", "starts", "sizes"))
+    docs, rids, starts, lasts, sizes = (column(c, np.int64) for c in ("docs", "rids", "starts", "lasts", "sizes"))
     if pdf["part"].iloc[0] < 0:
-        spans = np.stack([docs, rids, starts, starts + sizes], axis=1)
+        spans = np.stack([docs, rids, starts, lasts + sizes], axis=1)
     else:
         backs, keys, blob = column("backs", np.uint8).astype(np.int64), column("keys", np.uint32), column("bytes", np.uint8)
         at, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - SPAN + 1
@@ -316,8 +322,8 @@ def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
             w = backs[e] - back
             if len(e):
                 hit = _repeats(blob[(at[e] + w)[:, None] + np.arange(SPAN)], docs[e])
-                begin = starts[e[hit]] + w[hit]
-                found.append(np.stack([docs[e[hit]], rids[e[hit]], begin, begin + SPAN], axis=1))
+                rows, w = e[hit], w[hit]
+                found.append(np.stack([docs[rows], rids[rows], starts[rows] + w, lasts[rows] + w + SPAN], axis=1))
         spans = np.concatenate(found)
     spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
     bounds = list(_pieces(_group_number(spans[:, :2])))
@@ -408,7 +414,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), characters: bool
     unnamed = every.where("doc_id IS NULL").select("doc_id", "others", "text", F.lit(None).cast("array<binary>").alias("spans"),
                                                    F.lit(None).cast("long").alias("all"))
     schema = (T.StructType().add("doc_id", "long").add("others", rows.schema["others"].dataType).add("n_bytes", "long")
-              .add("starts", "array<long>").add("ends", "array<long>").add("kept", "binary"))
+              .add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())).add("kept", "binary"))
     done = rows.union(unnamed).withColumn("n_bytes", text_bytes("text")).mapInPandas(_cut(characters), schema)
     return done.select("doc_id", *[F.col(f"others.`{c}`").alias(c) for c in keep], "n_bytes", "starts", "ends", "kept")
 

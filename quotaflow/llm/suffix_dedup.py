@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,11 @@ from .common import parallelism, table, text_bytes, written
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1
 #: Text bytes hashed at once, held before a flush, and of a key range; the least number of ranges.
-CHUNK, FLUSH, RANGE, RANGES = 1 << 21, 1 << 25, 1 << 24, 64
+CHUNK, FLUSH, RANGE, RANGES = 1 << 19, 1 << 23, 1 << 23, 64
+#: Rows of an Arrow batch taken at a time.
+SLICE = 128
+#: Stands for a null doc_id.
+NO_ID = -1 << 63
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -77,26 +82,31 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     p = at[j]
     first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (j[1:] != j[:-1] + 1)]))
     n = np.diff(np.append(first, len(j)))
-    return np.searchsorted(ends, j[first], side="right"), j[first], n, p[first], h[p[first]]
+    key = h[p[first]]  # a smallest hash: mixed again, or the low key ranges would get most
+    key = (key ^ (key >> np.uint64(31))) * _ODD[15]
+    key = (key ^ (key >> np.uint64(29))) * _ODD[6]
+    return np.searchsorted(ends, j[first], side="right"), j[first], n, p[first], key ^ (key >> np.uint64(32))
 
 
 class Texts:
-    """Rows of a task in groups of CHUNK bytes, flushed at FLUSH bytes."""
+    """Rows of a task as (row, UTF-8 text) in groups of CHUNK bytes, flushed at FLUSH
+    bytes; a few rows of an Arrow batch are Python objects at a time."""
 
-    def __init__(self, batches: Iterator[pd.DataFrame]):
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
         self.batches = batches
 
-    def __iter__(self) -> Iterator[tuple[list[pd.DataFrame], bool]]:
+    def __iter__(self) -> Iterator[tuple[list[tuple[dict, bytes]], bool]]:
         rows, size, held = [], 0, 0
-        for pdf in self.batches:
-            for r in pdf.itertuples(index=False):
-                raw = r.text.encode()
-                rows.append((r, raw))
-                size += len(raw)
-                held += len(raw)
-                if size >= CHUNK:
-                    yield rows, held >= FLUSH
-                    rows, size, held = [], 0, held if held < FLUSH else 0
+        for batch in self.batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for r in batch.slice(at, SLICE).to_pylist():
+                    raw = r.pop("text").encode()
+                    rows.append((r, raw))
+                    size += len(raw)
+                    held += len(raw)
+                    if size >= CHUNK:
+                        yield rows, held >= FLUSH
+                        rows, size, held = [], 0, held if held < FLUSH else 0
         yield rows, True
 
     @staticmethod
@@ -117,7 +127,7 @@ def _pieces(order_by: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _index_rows(ranges: int):
     """Pass 1: packed anchors by key range; hits inside the flush under negative ranges."""
-    def flush(docs: list[np.ndarray], keys: list[np.ndarray]) -> pd.DataFrame | None:
+    def flush(docs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch | None:
         doc, h = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
         if not len(h):
             return None
@@ -130,7 +140,7 @@ def _index_rows(ranges: int):
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(key)))
         shared = np.repeat(doc[np.append(at[1:], len(key)) - 1] != doc[at], n)
-        out = {"part": [], "docs": [], "keys": []}
+        out: dict[str, list] = {"part": [], "docs": [], "keys": []}
         k, d = key[at], doc[at]
         part = (k >> np.uint64(32)).astype(np.int64)
         for a, b in _pieces(part):
@@ -145,18 +155,18 @@ def _index_rows(ranges: int):
                 out["part"].append(-1 - int(spread[order][a]))
                 out["docs"].append(hit_doc[order[a:b]].tobytes())
                 out["keys"].append(hit_key[order[a:b]].tobytes())
-        return pd.DataFrame(out)
+        return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, keys = [], []
         copies: dict[bytes, int] = {}
         for rows, last in Texts(batches):
             # A copy of a text with a smaller doc_id in the flush has nothing to add.
-            rows = [(r, raw) for r, raw in rows if (seen := copies.get(raw)) is None or seen > r.doc_id or seen == r.doc_id]
-            copies.update((raw, r.doc_id) for r, raw in rows)
+            rows = [(r, raw) for r, raw in rows if (seen := copies.get(raw)) is None or seen >= r["doc_id"]]
+            copies.update((raw, r["doc_id"]) for r, raw in rows)
             raw, ends = Texts.joined(rows)
             text, _, _, _, h = anchors(np.frombuffer(raw, np.uint8), ends)
-            ids = np.array([r.doc_id for r, _ in rows], np.int64)
+            ids = np.array([r["doc_id"] for r, _ in rows], np.int64)
             docs.append(ids[text])
             keys.append(h)
             if last:
@@ -222,8 +232,8 @@ def _scan_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return _by_doc(docs, keys.astype(np.uint64) | np.uint64(part << 32))
 
 
-WINDOWS = ["part", "docs", "rids", "starts", "lasts", "sizes", "backs", "keys", "bytes"]
-WINDOWS_SCHEMA = "part long, docs binary, rids binary, starts binary, lasts binary, sizes binary, backs binary, keys binary, bytes binary"
+WINDOWS = "part long, docs binary, rids binary, starts binary, more binary, sizes binary, backs binary, keys binary, bytes binary"
+KINDS = {"docs": np.int64, "rids": np.int64, "starts": np.int32, "more": np.int32, "sizes": np.uint8, "backs": np.uint8, "keys": np.uint32}
 
 
 def _window_rows(ranges: int):
@@ -231,52 +241,51 @@ def _window_rows(ranges: int):
     those of the smallest doc_id go on, the others are repeats (negative ranges).
     A context's places in a text that lie at most SPAN apart (periodic texts) are one
     row from the first to the last: for each window, their spans join."""
-    def packed(part: int, rows: list[tuple]) -> tuple:
-        """rows: (doc_id, rid, first place, last place, bytes, back, key)"""
-        longs = [np.array([r[i] for r in rows], np.int64).tobytes() for i in range(4)]
-        return (part, *longs, np.array([len(r[4]) for r in rows], np.int64).tobytes(), np.array([r[5] for r in rows], np.uint8).tobytes(),
-                np.array([r[6] for r in rows], np.uint32).tobytes(), b"".join([r[4] for r in rows]))
+    def packed(part: int, rows: list[tuple], context: bytes) -> tuple:
+        """rows: (doc_id, rid, first place, from there to the last place, length, back, key)"""
+        return (part, *(np.array(c, kind).tobytes() for c, kind in zip(zip(*rows, strict=True), KINDS.values(), strict=True)), context)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[int, list]] = {}  # (key, back, bytes) -> doc_id, its [rid, first, last]
         done: list[tuple[int, int, int, int, int]] = []  # doc_id, rid, first, last, length
 
-        def flush() -> pd.DataFrame | None:
-            by_part: dict[int, list[tuple]] = {}
+        def flush() -> pa.RecordBatch | None:
+            by_part: dict[int, tuple[list, list]] = {}
             for (key, back, context), (doc, places) in held.items():
-                by_part.setdefault(key >> 32, []).extend((doc, *x, context, back, key & 0xFFFFFFFF) for x in places)
-            out = [packed(p, rows) for p, rows in by_part.items()]
-            every = np.array(done, np.int64).reshape(-1, 5)
-            spread = every[:, 0] % ranges
-            for p in np.unique(spread):
-                m = every[spread == p]
-                out.append((-1 - int(p), *(np.ascontiguousarray(m[:, i]).tobytes() for i in range(5)), b"", b"", b""))
+                rows, contexts = by_part.setdefault(key >> 32, ([], []))
+                rows.extend((doc, rid, a, b - a, len(context), back, key & 0xFFFFFFFF) for rid, a, b in places)
+                contexts.extend([context] * len(places))
+            for doc, rid, a, b, n in done:
+                by_part.setdefault(-1 - doc % ranges, ([], []))[0].append((doc, rid, a, b - a, n, 0, 0))
             held.clear()
             done.clear()
-            return pd.DataFrame(out, columns=WINDOWS) if out else None
+            out = [packed(p, rows, b"".join(contexts)) for p, (rows, contexts) in by_part.items()]
+            names = [c.split()[0] for c in WINDOWS.split(", ")]
+            return pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(names)}, pa.schema(
+                [(c, pa.binary() if i else pa.int64()) for i, c in enumerate(names)])) if out else None
 
         for rows, last in Texts(batches):
             raw, ends = Texts.joined(rows)
             text, first, n, at, h = anchors(np.frombuffer(raw, np.uint8), ends)
             key = (_range_of(h, ranges) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-            lists = [np.frombuffer(b"".join(r.keys), np.uint64) for r, _ in rows]
+            lists = [np.frombuffer(b"".join(r["keys"]), np.uint64) for r, _ in rows]
             owner = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(x) for x in lists])
             wanted = np.concatenate([np.zeros(0, np.uint64), *lists]) * _ODD[6] + owner * _ODD[7]
             take = np.flatnonzero(np.isin(key * _ODD[6] + text.astype(np.uint64) * _ODD[7], wanted))
             begin = np.concatenate([[0], ends[:-1]]).tolist()
             for i, s, m, p, k in zip(*(x[take].tolist() for x in (text, first, n, at, key)), strict=True):
-                r, stop = rows[i][0], s + m + SPAN - 1
-                same, at_text = (k, p - s, raw[s:stop]), s - begin[i]
-                doc, places = held.setdefault(same, (r.doc_id, []))
-                if doc < r.doc_id:
-                    done.append((r.doc_id, r.rid, at_text, at_text, stop - s))
-                elif doc > r.doc_id:
+                own, rid, stop = rows[i][0]["doc_id"], rows[i][0]["rid"], s + m + SPAN - 1
+                same, place = (k, p - s, raw[s:stop]), s - begin[i]
+                doc, places = held.setdefault(same, (own, []))
+                if doc < own:
+                    done.append((own, rid, place, place, stop - s))
+                elif doc > own:
                     done.extend((doc, *x, stop - s) for x in places)
-                    held[same] = (r.doc_id, [[r.rid, at_text, at_text]])
-                elif places and places[-1][0] == r.rid and 0 <= at_text - places[-1][2] <= SPAN:
-                    places[-1][2] = at_text
+                    held[same] = (own, [[rid, place, place]])
+                elif places and places[-1][0] == rid and 0 <= place - places[-1][2] <= SPAN:
+                    places[-1][2] = place
                 else:
-                    places.append([r.rid, at_text, at_text])
+                    places.append([rid, place, place])
             if last and (out := flush()) is not None:
                 yield out
     return run
@@ -302,29 +311,30 @@ def _repeats(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """(doc_id, rid, spans): int64 pairs of the byte ranges that windows of this key range cover."""
-    def column(name, kind):
-        return np.frombuffer(b"".join(pdf[name]), kind)
-
-    docs, rids, starts, lasts, sizes = (column(c, np.int64) for c in ("docs", "rids", "starts", "lasts", "sizes"))
+    docs, rids, starts, more, sizes, backs, keys = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in KINDS.items())
+    starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
+    lasts = starts + more
     if pdf["part"].iloc[0] < 0:
         spans = np.stack([docs, rids, starts, lasts + sizes], axis=1)
     else:
-        backs, keys, blob = column("backs", np.uint8).astype(np.int64), column("keys", np.uint32), column("bytes", np.uint8)
-        at, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - SPAN + 1
+        blob = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+        at, n, backs = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - SPAN + 1, backs.astype(np.int64)
         order = np.lexsort((docs, keys))
         new = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
         least, most = docs[order][new], docs[order][np.append(new[1:], len(order)) - 1]
         shared = np.zeros(len(order), bool)
         shared[order] = np.repeat(least != most, np.diff(np.append(new, len(order))))
-        found = [np.zeros((0, 4), np.int64)]
+        gone = np.zeros((len(order), REACH + 2), np.int8)  # whether window w of a row goes, in column w + 1
         for back in range(REACH):  # windows whose anchor stands ``back`` bytes after their start
             e = np.flatnonzero(shared & (backs >= back) & (backs - back < n))
-            w = backs[e] - back
             if len(e):
+                w = backs[e] - back
                 hit = _repeats(blob[(at[e] + w)[:, None] + np.arange(SPAN)], docs[e])
-                rows, w = e[hit], w[hit]
-                found.append(np.stack([docs[rows], rids[rows], starts[rows] + w, lasts[rows] + w + SPAN], axis=1))
-        spans = np.concatenate(found)
+                gone[e[hit], w[hit] + 1] = 1
+        edge = np.diff(gone, axis=1)
+        row, w = np.nonzero(edge == 1)
+        _, past = np.nonzero(edge == -1)
+        spans = np.stack([docs[row], rids[row], starts[row] + w, lasts[row] + past - 1 + SPAN], axis=1)
     spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
     bounds = list(_pieces(_group_number(spans[:, :2])))
     return pd.DataFrame({"doc_id": [spans[a, 0] for a, _ in bounds], "rid": [spans[a, 1] for a, _ in bounds],
@@ -359,18 +369,24 @@ def whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
 
 
 def _cut(characters: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            starts, ends, kept = [], [], []
-            for text, lists, copy in zip(pdf["text"], pdf["spans"], pdf["all"].notna(), strict=True):
-                raw = text.encode()
-                spans = np.array([[0, len(raw)]]) if copy else union(np.frombuffer(b"".join(() if lists is None else lists), np.int64).reshape(-1, 2))
-                if characters:
-                    spans = whole_characters(raw, spans)
-                starts.append(spans[:, 0].tolist())
-                ends.append(spans[:, 1].tolist())
-                kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends[-1]], [*starts[-1], len(raw)], strict=True)))
-            yield pdf.drop(columns=["text", "spans", "all"]).assign(starts=starts, ends=ends, kept=kept)
+    def spans_of(raw: bytes, lists: list[bytes] | None, whole: int | None) -> np.ndarray:
+        spans = np.array([[0, len(raw)]]) if whole is not None else union(np.frombuffer(b"".join(lists or ()), np.int64).reshape(-1, 2))
+        return whole_characters(raw, spans) if characters else spans
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4 * SLICE):
+                part = batch.slice(at, 4 * SLICE)
+                starts, ends, kept = [], [], []
+                for text, lists, whole in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "all")), strict=True):
+                    raw = text.encode()
+                    spans = spans_of(raw, lists, whole)
+                    starts.append(spans[:, 0].tolist())
+                    ends.append(spans[:, 1].tolist())
+                    kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends[-1]], [*starts[-1], len(raw)], strict=True)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("doc_id", "others", "n_bytes")), pa.array(starts, pa.list_(pa.int64())),
+                     pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "others", "n_bytes", "starts", "ends", "kept"])
     return run
 
 
@@ -385,38 +401,39 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), characters: bool
     no source.
     """
     spark = docs.sparkSession
-    others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    own = F.col("doc_id").cast("long")
+    others = F.struct(own.alias("id"), F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("none ")).alias("rest"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sha = F.unhex(F.sha2(text, 256))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), others.alias("others"), text.alias("text"), sha.alias("sha"))
-    named = every.where("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("doc_id", "sha"))
+    # Keys are never null: a join on them then filters neither side, and both read one exchange.
+    every = (docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), others.alias("others"), text.alias("text"), sha.alias("sha"))
+             .withColumn("rid", F.xxhash64("doc_id", "sha")))
+    named = every.where(F.col("doc_id") != NO_ID)
     narrow = written(named.select("doc_id", "rid", "sha", text_bytes("text").alias("n_bytes")), "repeat-rows")
     ranges = max(RANGES, parallelism(spark), -(-(narrow.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE))
     firsts = written(narrow.groupBy("sha").agg(F.min("doc_id").alias("first")), "repeat-firsts")
     marked = written(narrow.join(firsts, "sha").select("doc_id", "rid", "n_bytes", (F.col("doc_id") == F.col("first")).alias("is_first")), "repeat-marks")
 
-    index = named.select("doc_id", "text").mapInPandas(_index_rows(ranges), "part long, docs binary, keys binary")
+    index = named.select("doc_id", "text").mapInArrow(_index_rows(ranges), "part long, docs binary, keys binary")
     hits = index.groupBy("part").applyInPandas(_scan_range, "doc_id long, keys binary")
     touched = written(marked.where("is_first").select("doc_id", "rid").distinct().join(
         hits.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")), "doc_id"), "repeat-hits")
 
     # The texts are dealt by (doc_id, rid) once: both joins read the same exchange.
-    texts = named.select("doc_id", "rid", "others", "text")
-    windows = (texts.join(touched.hint("merge"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "keys")
-               .mapInPandas(_window_rows(ranges), WINDOWS_SCHEMA))
+    texts = every.select("doc_id", "rid", "others", "text")
+    windows = (texts.join(touched.hint("merge"), ["doc_id", "rid"]).select("doc_id", "rid", "others", "text", "keys")
+               .mapInArrow(_window_rows(ranges), WINDOWS))
     found = windows.groupBy("part").applyInPandas(_match_range, "doc_id long, rid long, spans binary")
     copies = marked.where(~F.col("is_first") & (F.col("n_bytes") >= SPAN)).distinct().select(
         "doc_id", "rid", F.lit(None).cast("binary").alias("spans"), F.col("n_bytes").alias("all"))
     spans = (found.withColumn("all", F.lit(None).cast("long")).union(copies)
              .groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"), F.max("all").alias("all")))
     joined = texts.join(spans.hint("merge"), ["doc_id", "rid"], "left")
-    rows = joined.select("doc_id", "others", "text", "spans", "all")
-    unnamed = every.where("doc_id IS NULL").select("doc_id", "others", "text", F.lit(None).cast("array<binary>").alias("spans"),
-                                                   F.lit(None).cast("long").alias("all"))
+    rows = joined.select("doc_id", "others", "text", "spans", "all").withColumn("n_bytes", text_bytes("text"))
     schema = (T.StructType().add("doc_id", "long").add("others", rows.schema["others"].dataType).add("n_bytes", "long")
               .add("starts", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())).add("kept", "binary"))
-    done = rows.union(unnamed).withColumn("n_bytes", text_bytes("text")).mapInPandas(_cut(characters), schema)
-    return done.select("doc_id", *[F.col(f"others.`{c}`").alias(c) for c in keep], "n_bytes", "starts", "ends", "kept")
+    done = rows.mapInArrow(_cut(characters), schema)
+    return done.select(F.col("others.id").alias("doc_id"), *[F.col(f"others.rest.`{c}`").alias(c) for c in keep], "n_bytes", "starts", "ends", "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

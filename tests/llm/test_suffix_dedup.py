@@ -61,14 +61,15 @@ def test_small_flushes_and_many_levels(spark, monkeypatch):
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
     pdf = S.pd.DataFrame([(d, t) for d, t in rows if t], columns=["doc_id", "text"])
-    parts = S.pd.concat(list(S._index_rows(4)(iter([pdf]))))
+    batches = lambda df: iter([S.pa.RecordBatch.from_pandas(df, preserve_index=False)])
+    parts = S.pd.concat([b.to_pandas() for b in S._index_rows(4)(batches(pdf))])
     hits = {}
     for _, group in parts.groupby("part"):
         for r in S._scan_range(group).itertuples():
             hits.setdefault(r.doc_id, []).append(r.keys)
     assert len(parts) > 40
     touched = pdf[pdf["doc_id"].isin(hits)].assign(rid=lambda p: p["doc_id"] * 3, keys=lambda p: [hits[d] for d in p["doc_id"]])
-    windows = S.pd.concat(list(S._window_rows(4)(iter([touched]))))
+    windows = S.pd.concat([b.to_pandas() for b in S._window_rows(4)(batches(touched))])
     spans = {}
     for _, group in windows.groupby("part"):
         for r in S._match_range(group).itertuples():

@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document holds; a null text stays null."""
     done = remove_repeats(docs.withColumn("was_null", F.col("text").isNull()), keep=("lang", "source", "was_null"), characters=True)
-    text = F.when(~F.col("was_null"), F.decode("kept", F.lit("UTF-8")))
+    text = F.when(~F.col("was_null"), F.decode("kept", "UTF-8"))
     return done.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -45,12 +45,11 @@ def filter_options(df: DataFrame) -> DataFrame:
     table ``(dimension, value)`` with dimensions ``regions``, ``products``,
     ``teams``, ``plans``.
 
-    One scan: the four columns are unpivoted and de-duplicated together; the
-    distinct is partially aggregated before the shuffle, so the shuffle
-    carries at most one row per value and map task.
+    One scan: the combinations of the four columns are de-duplicated first
+    (partially aggregated before the shuffle), so only those few rows are unpivoted.
     """
     ids = [F.lit(arg) for arg in FILTER_DIMENSIONS]
-    stacked = df.select(F.explode(F.array(*[
+    stacked = df.select(*FILTER_DIMENSIONS.values()).distinct().select(F.explode(F.array(*[
         F.struct(name.alias("dimension"), F.col(column).cast("string").alias("value"))
         for name, column in zip(ids, FILTER_DIMENSIONS.values())
     ])).alias("kv"))

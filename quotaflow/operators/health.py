@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quotaflow.functions import (
     CONFIDENCE_LABELS,
@@ -50,15 +49,9 @@ def forecast_confidence(df: DataFrame) -> DataFrame:
         F.col("total_revenue_eur").cast("double").alias("actual"),
         F.col("forecast_confidence_score").cast("double").alias("confidence"),
     )
-    schema = T.StructType([
-        T.StructField("bucket_id", T.IntegerType()),
-        T.StructField("record_id", T.StringType()),
-        T.StructField("forecast", T.DoubleType()),
-        T.StructField("actual", T.DoubleType()),
-        T.StructField("confidence", T.DoubleType()),
-    ])
-    placeholders = spark.createDataFrame(
-        [(i, None, None, None, None) for i in range(len(CONFIDENCE_LABELS))], schema)
+    placeholders = spark.range(len(CONFIDENCE_LABELS), numPartitions=1).select(
+        F.col("id").cast("int").alias("bucket_id"), F.lit(None).cast("string").alias("record_id"),
+        *[F.lit(None).cast("double").alias(c) for c in ("forecast", "actual", "confidence")])
     zero = F.lit(0.0)
     return (
         bucketed.unionByName(placeholders)

@@ -70,9 +70,11 @@ def enrich(df: DataFrame) -> DataFrame:
     ren = F.col("renewal_revenue_eur")
     churn = F.col("churned_revenue_eur")
     month = F.col("reporting_month")
+    # inf - inf is no number: NULL, which sums and means leave out
+    known = lambda x: F.when(~F.isnan(x), x)
     return df.withColumns({
-        "total_revenue_eur": round_half_even(mrr + exp + ren - churn, 2),
-        "net_new_revenue_eur": round_half_even(mrr + exp - churn, 2),
+        "total_revenue_eur": known(round_half_even(mrr + exp + ren - churn, 2)),
+        "net_new_revenue_eur": known(round_half_even(mrr + exp - churn, 2)),
         "pipeline_conversion_pct": round_half_even(
             guarded_ratio("closed_won_value_eur", "pipeline_value_eur", scale=100.0), 2),
         "year": F.year(month),

@@ -50,21 +50,29 @@ def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
     expected = (F.col("monthly_recurring_revenue_eur") + F.col("expansion_revenue_eur")
                 + F.col("renewal_revenue_eur") - F.col("churned_revenue_eur"))
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
+    # Reduced to one row a combination first: three distinct counts would copy every fact row.
+    combined = df.groupBy("region", "product_line", "sales_team").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.abs(F.col("total_revenue_eur") - expected)).alias("diff"),
+        F.count_if(F.col("total_revenue_eur") < 0).alias("negative"),
+        F.count_if(F.col("sales_target_eur") <= 0).alias("untargeted"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return combined.agg(
+        total("n").alias("rows"),
         distinct("region").alias("regions"),
         distinct("product_line").alias("products"),
         distinct("sales_team").alias("teams"),
-        F.max(F.abs(F.col("total_revenue_eur") - expected)).alias("max_revenue_diff_eur"),
-        F.count_if(F.col("total_revenue_eur") < 0).alias("negative_revenue_rows"),
-        F.count_if(F.col("sales_target_eur") <= 0).alias("missing_targets"),
+        F.max("diff").alias("max_revenue_diff_eur"),
+        total("negative").alias("negative_revenue_rows"),
+        total("untargeted").alias("missing_targets"),
     )
 
 
 def aggregate_by(df: DataFrame, group_col: str) -> DataFrame:
     """A3: the canonical revenue metrics by any one column, total desc."""
     if group_col not in df.columns:
-        raise KeyError(f"Cannot aggregate by unknown column: {group_col}")
+        raise KeyError(f"no such column to group by: {group_col}")
     return (
         df.groupBy(group_col)
         .agg(
@@ -107,18 +115,18 @@ def revenue_by_product(df: DataFrame) -> DataFrame:
     )
 
 
+def _pipeline_by_stage(df: DataFrame) -> DataFrame:
+    return df.groupBy("sales_stage").agg(
+        _sum("pipeline_value_eur", "pipeline_value"),
+        F.count("record_id").alias("opportunities"),
+        _sum("closed_won_value_eur", "closed_won"),
+        _sum("closed_lost_value_eur", "closed_lost"),
+    )
+
+
 def pipeline_distribution(df: DataFrame) -> DataFrame:
     """Pipeline, opportunities, won and lost by sales stage, pipeline desc."""
-    return (
-        df.groupBy("sales_stage")
-        .agg(
-            _sum("pipeline_value_eur", "pipeline_value"),
-            F.count("record_id").alias("opportunities"),
-            _sum("closed_won_value_eur", "closed_won"),
-            _sum("closed_lost_value_eur", "closed_lost"),
-        )
-        .orderBy(F.desc("pipeline_value"), "sales_stage")
-    )
+    return _pipeline_by_stage(df).orderBy(F.desc("pipeline_value"), "sales_stage")
 
 
 def pipeline_share(df: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def pipeline_share(df: DataFrame) -> DataFrame:
     The total is a one-row aggregate of the (already tiny) stage table,
     joined by broadcast: its size is one row by construction.
     """
-    stages = pipeline_distribution(df).select("sales_stage", "pipeline_value")
+    stages = _pipeline_by_stage(df).select("sales_stage", "pipeline_value")
     total = stages.agg(F.sum("pipeline_value").alias("_total"))
     return (
         stages.crossJoin(F.broadcast(total))
@@ -137,13 +145,13 @@ def pipeline_share(df: DataFrame) -> DataFrame:
     )
 
 
+def _quota_by_team(df: DataFrame) -> DataFrame:
+    return df.groupBy("region", "sales_team").agg(_avg("quota_attainment_pct", "avg_quota"))
+
+
 def quota_matrix(df: DataFrame) -> DataFrame:
     """Average quota by region and sales team (long form), key order."""
-    return (
-        df.groupBy("region", "sales_team")
-        .agg(_avg("quota_attainment_pct", "avg_quota"))
-        .orderBy("region", "sales_team")
-    )
+    return _quota_by_team(df).orderBy("region", "sales_team")
 
 
 def quota_heatmap(df: DataFrame, teams: list[str] | None = None) -> DataFrame:
@@ -152,7 +160,7 @@ def quota_heatmap(df: DataFrame, teams: list[str] | None = None) -> DataFrame:
 
     Pass ``teams`` to skip the job that lists the distinct teams.
     """
-    long = quota_matrix(df)
+    long = _quota_by_team(df)
     grouped = long.groupBy("region")
     if teams is None:
         wide = grouped.pivot("sales_team").agg(F.avg("avg_quota"))

@@ -63,7 +63,7 @@ def rollup_by_dimensions(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     dims = list(dims)
     missing = [d for d in dims if d not in df.columns]
     if missing:
-        raise KeyError(f"Cannot aggregate by unknown column: {', '.join(missing)}")
+        raise KeyError(f"no such column to group by: {', '.join(missing)}")
     n = len(dims)
     full = (1 << n) - 1
     grouped = df.groupingSets([[d] for d in dims], *dims).agg(

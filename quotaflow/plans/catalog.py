@@ -10,7 +10,7 @@ over the same Parquet tables.
 from __future__ import annotations
 
 import hashlib
-import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,7 @@ from quotaflow.operators import (
     forecast_confidence,
     forecast_vs_actual,
     high_revenue_accounts,
+    is_empty_slice,
     kpi_status,
     ml_risk_accounts,
     pipeline_distribution,
@@ -47,6 +48,7 @@ from quotaflow.session import ensure_checkpoint_dir
 from quotaflow.sources import (
     dataset_fingerprint,
     dirty_star_facts,
+    load_revenue,
     materialize_facts,
     star_facts,
     with_standin_predictions,
@@ -59,15 +61,12 @@ SLICE_PLANS = ["1-URGENT", "2-HIGH"]
 NO_SUCH_REGION = "__no_such_region__"
 TEAM_THRESHOLD_PCT = 101.5
 TOP_N = 15
+# The fact mapping's teams: three a region.
+TEAMS = [f"{r}-T{i}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST") for i in range(3)]
+STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
 
-_LOG = logging.getLogger(__name__)
-
-# Session setting: "true" (default) writes the facts table once per session
-# and serves every view from it; "false" plans each view from the star tables.
-FACTS_TABLE_CONF = "quotaflow.facts.table"
-
 # (application id, sf_dir, kind) -> DataFrame, shared by every query of a
 # session, as an application holding its facts DataFrame would.
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
@@ -81,7 +80,7 @@ def _plan(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
 
 
 def reset_plans() -> None:
-    """Forget the shared plans and facts tables (after the files change)."""
+    """Forget the shared plans and facts tables; tables that are still read stay on disk."""
     _PLANS.clear()
     clear_table_cache()
 
@@ -92,16 +91,26 @@ def facts_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "facts", lambda: prepare(star_facts(spark, sf_dir)))
 
 
-def facts_table_path(spark: SparkSession, sf_dir: str) -> str | None:
-    """Where this session keeps the facts of ``sf_dir``: under the shared
-    checkpoint folder, one table per application and source folder; None
-    when the session names no checkpoint folder."""
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the source tables' files: names, sizes and times of change."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    seen = []
+    for name in STAR_TABLES:
+        files = fs.listFiles(sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet"), True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def facts_folder(spark: SparkSession) -> str:
+    """Where this application keeps its facts tables, below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     if not base:
-        return None
-    # the same string as the plan key: one table per key, never overwritten under a live reader
-    digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:16]
-    return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}/{digest}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}"
 
 
 def drop_facts_tables(spark: SparkSession) -> bool:
@@ -110,13 +119,10 @@ def drop_facts_tables(spark: SparkSession) -> bool:
     session's Hadoop file system, so it works on shared storage too. Returns
     whether a folder was deleted."""
     app = spark.sparkContext.applicationId
-    for key in [k for k in _PLANS if k[0] == app and (k[2] == "facts_table" or k[2].startswith("standin-"))]:
+    for key in [k for k in _PLANS if k[0] == app and (k[2].startswith("table-") or k[2].startswith("standin-"))]:
         _PLANS.pop(key, None)
-    base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        return False
     sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quotaflow-facts/{app}")
+    folder = sc._jvm.org.apache.hadoop.fs.Path(facts_folder(spark))
     fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
     return bool(fs.exists(folder) and fs.delete(folder, True))
 
@@ -124,23 +130,26 @@ def drop_facts_tables(spark: SparkSession) -> bool:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned and enriched facts mapped from the whole star tables.
 
-    By default the mapping runs once per session and is written as a Parquet
-    table under the shared checkpoint folder (S6 at scale); every view then
-    scans that table with its columns pruned and filters pushed down instead
-    of re-running the 7-table join. Without a checkpoint folder, or with
-    ``quotaflow.facts.table=false``, the views are planned from the star
-    tables.
+    The mapping runs once per session and state of the source files and is written
+    as a Parquet table under the shared checkpoint folder (S6 at scale); every
+    view then scans that table with its columns pruned and filters pushed
+    down instead of re-running the 7-table join. Each write has a folder of
+    its own, which goes when the application ends; a session without a
+    checkpoint folder, or a failed write, is an error.
     """
-    if spark.conf.get(FACTS_TABLE_CONF, "true").lower() == "true":
-        path = facts_table_path(spark, sf_dir)
-        if path:
-            try:
-                return _plan(spark, sf_dir, "facts_table",
-                             lambda: materialize_facts(facts_plan(spark, sf_dir), path))
-            except Exception as exc:  # e.g. a read-only checkpoint folder: same rows from the plan
-                _LOG.warning("facts table at %s not written (%s); planning from the star tables",
-                             path, exc)
-    return facts_plan(spark, sf_dir)
+    def write() -> DataFrame:
+        path = f"{facts_folder(spark)}/{uuid.uuid4().hex}"
+        table = materialize_facts(prepare(star_facts(spark, sf_dir)), path)
+        sc = spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(facts_folder(spark))
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        return table
+
+    state = source_state(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, f"table-{state}")
+    if key not in _PLANS:
+        clear_table_cache()  # the files may have been replaced since they were listed
+    return _plan(spark, sf_dir, f"table-{state}", write)
 
 
 def dirty_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +182,26 @@ def _aggregate_by(column: str):
 
 
 def _predictions(spark, d):
-    base = facts(spark, d)  # the table or the plan, as the session is set
-    return _plan(spark, d, f"standin-{id(base)}", lambda: with_standin_predictions(base))
+    base = facts(spark, d)
+    return _plan(spark, d, f"standin-{''.join(base.inputFiles()[:1])}", lambda: with_standin_predictions(base))
+
+
+def _exact_totals(spark, d):
+    """The facts with totals as decimals (they are whole cents): sums do not depend on their order."""
+    return facts(spark, d).withColumn("total_revenue_eur", F.col("total_revenue_eur").cast("decimal(28,2)"))
+
+
+def _empty_slice_flags(spark, d):
+    """F3 on a slice without rows and on one with rows."""
+    none = is_empty_slice(apply_filters(facts(spark, d), regions=[NO_SUCH_REGION]))
+    some = is_empty_slice(apply_filters(facts(spark, d), regions=SLICE_REGIONS, plans=SLICE_PLANS))
+    return spark.range(1).select(F.lit(none).alias("no_such_region"), F.lit(some).alias("slice"))
 
 
 def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     q["clean_dirty"] = lambda s, d: clean(dirty_facts(s, d))
-    q["enrich_facts"] = facts
+    q["enrich_facts"] = lambda s, d: facts(s, d)
     q["filter_slice"] = lambda s, d: apply_filters(facts(s, d), regions=SLICE_REGIONS, plans=SLICE_PLANS)
     q["filter_options"] = lambda s, d: filter_options(facts(s, d))
     q["dataset_fingerprint"] = lambda s, d: rounded(dataset_fingerprint(facts(s, d)), ["total_revenue"])
@@ -202,7 +223,7 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pipeline_distribution(facts(s, d)), ["pipeline_value", "closed_won", "closed_lost"])
     q["pipeline_share"] = lambda s, d: rounded(pipeline_share(facts(s, d)), ["pipeline_value"], ["share_pct"])
     q["quota_matrix"] = lambda s, d: rounded(quota_matrix(facts(s, d)), ratio=["avg_quota"])
-    q["quota_heatmap"] = lambda s, d: quota_heatmap(facts(s, d))
+    q["quota_heatmap"] = lambda s, d: quota_heatmap(facts(s, d), TEAMS)
     q["high_revenue_accounts"] = lambda s, d: rounded(
         high_revenue_accounts(facts(s, d), TOP_N), ["total_revenue", "mrr", "expansion", "renewal"],
         ["avg_renewal_prob"])
@@ -212,9 +233,9 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["underperforming_teams"] = lambda s, d: rounded(
         underperforming_teams(facts(s, d), TEAM_THRESHOLD_PCT), ["total_revenue", "forecast_revenue"],
         ["avg_quota", "avg_confidence"])
-    q["revenue_growth_trend"] = lambda s, d: rounded(revenue_growth_trend(facts(s, d)), ["total_revenue"])
+    q["revenue_growth_trend"] = lambda s, d: rounded(revenue_growth_trend(_exact_totals(s, d)), ["total_revenue"])
     q["revenue_growth_by_region"] = lambda s, d: rounded(
-        revenue_growth_trend(facts(s, d), by=["region"]), ["total_revenue"])
+        revenue_growth_trend(_exact_totals(s, d), by=["region"]), ["total_revenue"])
     q["churn_impact"] = lambda s, d: rounded(
         churn_impact(facts(s, d)), ["gross_revenue", "expansion", "renewal", "churn", "gross_total", "net_revenue"])
     q["forecast_confidence"] = lambda s, d: rounded(
@@ -230,6 +251,11 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["ml_risk_accounts"] = lambda s, d: rounded(
         ml_risk_accounts(_predictions(s, d), TOP_N), ["mrr", "forecast", "predicted", "churn"],
         ["miss_quota_prob"])
+    q["quota_trend_slice"] = lambda s, d: rounded(
+        quota_trend(apply_filters(_predictions(s, d), regions=SLICE_REGIONS, plans=SLICE_PLANS)),
+        ratio=["actual_quota_avg", "predicted_quota_prob"])
+    q["load_revenue_star"] = lambda s, d: load_revenue(s, star_facts(s, d))
+    q["empty_slice_flags"] = _empty_slice_flags
     from quotaflow.plans.bundle import rollup_by_dimensions
     q["aggregate_by_dimensions"] = lambda s, d: rounded(
         rollup_by_dimensions(facts(s, d), ROLLUP_DIMENSIONS), _A3_MONEY, _A3_RATIO)
@@ -521,10 +547,12 @@ FROM st ORDER BY share_pct DESC, sales_stage
 SELECT region, sales_team, {r8("avg(quota_attainment_pct)")} AS avg_quota
 FROM enriched GROUP BY region, sales_team ORDER BY region, sales_team
 """
-    o["quota_heatmap"] = FACTS_CTE + """
-, m AS (SELECT region, sales_team, avg(quota_attainment_pct) AS avg_quota FROM enriched GROUP BY region, sales_team)
-SELECT region, round_even(coalesce(COLUMNS(* EXCLUDE (region)), 0.0E0) * 10E0, 0) / 10E0
-FROM (PIVOT m ON sales_team USING avg(avg_quota) GROUP BY region) ORDER BY region
+    cells = ",\n  ".join(
+        f"round_even(coalesce(avg(quota_attainment_pct) FILTER (WHERE sales_team = '{t}'), 0.0E0) * 10E0, 0) / 10E0 AS \"{t}\""
+        for t in TEAMS)
+    o["quota_heatmap"] = FACTS_CTE + f"""
+SELECT region, {cells}
+FROM enriched GROUP BY region ORDER BY region
 """
     o["high_revenue_accounts"] = FACTS_CTE + f"""
 SELECT customer_name, industry, region, {r2("sum(total_revenue_eur)")} AS total_revenue,
@@ -567,11 +595,11 @@ SELECT sales_team, region, {r8("avg_quota")} AS avg_quota, {r2("total_revenue")}
 FROM g WHERE avg_quota < {TEAM_THRESHOLD_PCT}E0 ORDER BY g.avg_quota, sales_team, region
 """
     growth = lambda part: FACTS_CTE + f"""
-, m AS (SELECT {part} month_label, round_even(sum(total_revenue_eur) * 100E0, 0) AS cents
+, m AS (SELECT {part} month_label, CAST(sum(CAST(total_revenue_eur AS DECIMAL(28,2))) AS DOUBLE) AS total
         FROM enriched GROUP BY ALL)
-SELECT {part} month_label, cents / 100E0 AS total_revenue,
-  {r2("(cents / nullif(lag(cents) OVER w, 0.0E0) - 1.0E0) * 100.0E0")} AS mom_growth_pct,
-  round_even(avg(cents) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) / 100E0 AS rolling_3m_revenue
+SELECT {part} month_label, {r2("total")} AS total_revenue,
+  {r2("(total / nullif(lag(total) OVER w, 0.0E0) - 1.0E0) * 100.0E0")} AS mom_growth_pct,
+  {r2("avg(total) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")} AS rolling_3m_revenue
 FROM m WINDOW w AS ({"PARTITION BY region " if part else ""}ORDER BY month_label)
 ORDER BY {part} month_label
 """
@@ -591,6 +619,31 @@ FROM t ORDER BY t.churn DESC, region
 """
     o["forecast_confidence"] = _bucket_sql()
     o["forecast_confidence_gaps"] = _bucket_sql("WHERE quota_attainment_pct < 100")
+    slice_sql = "region IN ({}) AND subscription_plan IN ({})".format(
+        *(", ".join(f"'{v}'" for v in values) for values in (SLICE_REGIONS, SLICE_PLANS)))
+    o["quota_trend_slice"] = FACTS_CTE + _PRED_CTE + f"""
+SELECT month_label, {r8("avg(quota_attainment_pct)")} AS actual_quota_avg,
+  {r8("avg(quota_attainment_probability)")} AS predicted_quota_prob, count(record_id) AS records
+FROM pred WHERE {slice_sql} GROUP BY month_label ORDER BY month_label
+"""
+    o["load_revenue_star"] = o["enrich_facts"]
+    o["empty_slice_flags"] = FACTS_CTE + f"""
+SELECT count(*) FILTER (WHERE region = '{NO_SUCH_REGION}') = 0 AS no_such_region,
+  count(*) FILTER (WHERE {slice_sql}) = 0 AS slice FROM enriched
+"""
+    o["split_sizes"] = FACTS_CTE + """
+, f AS (SELECT CASE WHEN quota_attainment_pct >= 100 THEN 1 ELSE 0 END AS label,
+          CAST(CAST('0x' || substr(md5(record_id || '|42'), 1, 8) AS BIGINT) % 10000 AS INTEGER) AS slot FROM enriched),
+c AS (SELECT label, slot, count(*) AS n FROM f GROUP BY label, slot),
+u AS (SELECT label, slot, sum(n) OVER (PARTITION BY label ORDER BY slot) AS upto, sum(n) OVER (PARTITION BY label) AS total FROM c),
+cut AS (SELECT label, min(slot) AS last FROM u WHERE upto >= total * 0.8E0 GROUP BY label)
+SELECT 'plain' AS split, label, slot < 8000 AS train, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT 'stratified', f.label, slot <= last, count(*) FROM f JOIN cut ON cut.label = f.label GROUP BY ALL
+"""
+    o["predict_checks"] = FACTS_CTE + """
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS disagreeing FROM enriched
+"""
+    o["importance_checks"] = "SELECT true AS at_most_20, CAST(0 AS BIGINT) AS unknown_names, CAST(0 AS BIGINT) AS outside"
     o["quota_trend"] = FACTS_CTE + _PRED_CTE + f"""
 SELECT month_label, {r8("avg(quota_attainment_pct)")} AS actual_quota_avg,
   {r8("avg(quota_attainment_probability)")} AS predicted_quota_prob, count(record_id) AS records

@@ -21,7 +21,7 @@ DEFAULT_TEXT = {
     "country": "Germany",
     "sales_team": "EMEA-North",
     "account_executive": "Exec A",
-    "customer_name": "Acme",
+    "customer_name": "Customer A",
     "industry": "Software",
     "reporting_month": "2025-07",
     "subscription_plan": "Enterprise",

@@ -1,0 +1,68 @@
+"""CSV ingest: columns by name, quoted text, a small revenue file with known results."""
+
+from __future__ import annotations
+
+import pytest
+
+from conftest import DEFAULT_TEXT
+from quotaflow.operators import apply_filters, churn_impact, revenue_by_region, top_metrics
+from quotaflow.schema import NUMERIC_COLUMNS, REQUIRED_COLUMNS
+from quotaflow.sources import load_revenue
+from quotaflow.streaming.ingest import stream_revenue_files
+
+
+def write(path, columns, rows):
+    full = [{**DEFAULT_TEXT, **{c: "0" for c in NUMERIC_COLUMNS}, **r} for r in rows]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if any(x in v for x in ',"\n') else v
+    path.write_text("\n".join([",".join(columns), *(",".join(quoted(r[c]) for c in columns) for r in full)]) + "\n")
+
+
+def swapped():
+    return list(reversed(REQUIRED_COLUMNS))
+
+
+def test_files_with_columns_in_other_orders(spark, tmp_path):
+    write(tmp_path / "a.csv", REQUIRED_COLUMNS, [{"record_id": "A", "churned_revenue_eur": "7", "renewal_revenue_eur": "100"}])
+    write(tmp_path / "b.csv", swapped(), [{"record_id": "B", "churned_revenue_eur": "7", "renewal_revenue_eur": "100"}])
+    write(tmp_path / "c.csv", ["extra", *REQUIRED_COLUMNS], [{"record_id": "C", "extra": "x", "churned_revenue_eur": "7", "renewal_revenue_eur": "100"}])
+    rows = load_revenue(spark, str(tmp_path / "*.csv"), fmt="csv").collect()
+    assert {(r["record_id"], r["churned_revenue_eur"], r["renewal_revenue_eur"], r["total_revenue_eur"]) for r in rows} == {
+        (x, 7.0, 100.0, 93.0) for x in "ABC"}
+
+
+def test_stream_rejects_another_header_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "b.csv", swapped(), [{"record_id": "B"}])
+    query = (stream_revenue_files(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("swapped")
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        query.awaitTermination()
+
+
+def test_quotes_and_line_breaks_inside_text(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    write(path, REQUIRED_COLUMNS, [{"customer_name": 'Smith "Bob", Ltd', "industry": "two\nlines", "expansion_revenue_eur": "5"}])
+    from quotaflow.operators import prepare
+    from quotaflow.sources.revenue import read_revenue_csv
+
+    r = prepare(read_revenue_csv(spark, str(path), multi_line=True)).first()
+    assert (r["customer_name"], r["industry"], r["expansion_revenue_eur"]) == ('Smith "Bob", Ltd', "two\nlines", 5.0)
+
+
+def test_known_results_of_a_small_file(spark, tmp_path):
+    rows = [
+        {"record_id": "1", "region": "EMEA", "monthly_recurring_revenue_eur": "1000.10", "churned_revenue_eur": "100", "quota_attainment_pct": "50"},
+        {"record_id": "2", "region": "EMEA", "monthly_recurring_revenue_eur": " 500 ", "expansion_revenue_eur": "20.05", "quota_attainment_pct": "150"},
+        {"record_id": "3", "region": "APAC", "monthly_recurring_revenue_eur": "n/a", "renewal_revenue_eur": "300", "reporting_month": "2025-08"},
+        {"record_id": "4", "region": "APAC", "monthly_recurring_revenue_eur": "9", "reporting_month": "2025-13"},
+        {"record_id": "5", "region": "LATAM", "monthly_recurring_revenue_eur": "inf", "churned_revenue_eur": "inf"},
+    ]
+    write(tmp_path / "g.csv", REQUIRED_COLUMNS, rows)
+    facts = load_revenue(spark, str(tmp_path / "g.csv"))
+    assert facts.count() == 4  # one month is no month
+    got = {r["region"]: r["total_revenue"] for r in revenue_by_region(facts).collect()}
+    assert got["EMEA"] == pytest.approx(1420.15) and got["APAC"] == 300.0 and got["LATAM"] is None
+    emea = apply_filters(facts, regions=["EMEA"])
+    assert top_metrics(emea).first()["avg_quota_attainment"] == 100.0
+    churn = churn_impact(emea).first()
+    assert churn["churn"] == 100.0 and churn["gross_revenue"] == pytest.approx(1500.1)

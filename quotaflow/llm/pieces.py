@@ -30,7 +30,9 @@ from .common import table
 
 SPACE = "▁"
 #: A worker forgets its segments when it holds this many.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Rows of an Arrow batch encoded at a time.
+SLICE = 512
 MODEL = "piece_bpe_32k.model"
 #: Bits of an agenda key that hold the position.
 PLACE = 40
@@ -158,13 +160,16 @@ def _encoder(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(proto)
         for batch in batches:
-            done = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            model.check()
-            if len(model) > REMEMBERED:
-                model.clear()
-            ends = np.cumsum([0, *(len(b) // 4 for b, _ in done)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(b for b, _ in done), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array([t for _, t in done], pa.string())], ["row", "ids", "decoded"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                done = [model.encode(t or "") for t in part.column("text").to_pylist()]
+                model.check()
+                if len(model) > REMEMBERED:
+                    model.clear()
+                ends = np.cumsum([0, *(len(b) // 4 for b, _ in done)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b for b, _ in done]), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([t for _, t in done], pa.string())], ["row", "ids", "decoded"])
+        model.clear()  # an idle worker holds no segments
     return run
 
 

@@ -29,8 +29,11 @@ from pyspark.sql import types as T
 from .common import table
 
 SPACE = "▁"
-#: A worker forgets its segments when it holds this many.
-REMEMBERED = 250_000
+#: A worker holds at most about twice this many segments: when it has come by so many, those
+#: that it held before and did not meet again are forgotten.
+REMEMBERED = 125_000
+#: A segment of at most this many characters keeps its agenda as a plain list.
+SHORT = 32
 #: Rows of an Arrow batch encoded at a time.
 SLICE = 512
 MODEL = "piece_bpe_32k.model"
@@ -57,7 +60,14 @@ class PieceModel(dict):
         self.plain[sp.unk_id()] = " ⁇ "
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
         self.split = re.compile(self._segments(), re.S)
+        self.never = len(order) << PLACE
         self.unchecked: list[str] = []
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def forget(self, everything: bool = False) -> None:
+        """Segments not met since the last call go."""
+        self.older = {} if everything else self.copy()
+        self.clear()
 
     def _segments(self) -> str:
         """A pattern whose matches never share a merge with their neighbours."""
@@ -73,11 +83,26 @@ class PieceModel(dict):
         sets = [f"[{re.escape(''.join(sorted(s)))}]+" for s in parts if s]
         return f"{SPACE}*(?:{'|'.join(sets)})|{SPACE}+(?=[^{SPACE}]|$)|." if sets else "."
 
+    def _merge_short(self, seg: str) -> list[str]:
+        """The agenda as a list of the adjacent pairs' ranks: its least value, the first
+        of equal ones, is the next merge."""
+        part, rank, never = list(seg), self.rank.get, self.never
+        agenda = [rank(a + b, never) for a, b in pairwise(seg)]
+        while agenda and (best := min(agenda)) != never:
+            i = agenda.index(best)
+            part[i] = p = part[i] + part.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(p + part[i + 1], never)
+            if i:
+                agenda[i - 1] = rank(part[i - 1] + p, never)
+        return part
+
     def merge(self, seg: str) -> list[int]:
         """Ids of a segment, by the agenda of adjacent pairs."""
-        part: list[str | None] = list(seg)
-        n = len(part)
-        if n > 1:
+        n = len(seg)
+        part: list[str | None] = self._merge_short(seg) if n <= SHORT else list(seg)
+        if n > SHORT:
             rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
             before, after = list(range(-1, n - 1)), list(range(1, n + 1))
             agenda = [r + i for i, (a, b) in enumerate(pairwise(seg)) if (r := rank(a + b)) is not None]
@@ -124,6 +149,9 @@ class PieceModel(dict):
         return "".join(out)
 
     def __missing__(self, seg: str) -> tuple[bytes, str]:
+        if (found := self.older.pop(seg, None)) is not None:
+            self[seg] = found
+            return found
         ids = self.merge(seg)
         self.unchecked.append(seg)
         self[seg] = found = (array("i", ids).tobytes(), self.unmerge(ids))
@@ -147,8 +175,8 @@ class PieceModel(dict):
         """int32 ids (end id last) as bytes, and the text that they decode to."""
         if not text:
             return np.array([self.end], np.int32).tobytes(), ""
-        found = [self[s] for s in self.split.findall(SPACE + text.replace(" ", SPACE))]
-        return b"".join([*(f[0] for f in found), np.array([self.end], np.int32).tobytes()]), "".join([f[1] for f in found])[1:]
+        ids, texts = zip(*[self[s] for s in self.split.findall(SPACE + text.replace(" ", SPACE))], strict=True)
+        return b"".join([*ids, np.array([self.end], np.int32).tobytes()]), "".join(texts)[1:]
 
 
 @lru_cache(maxsize=2)
@@ -165,11 +193,11 @@ def _encoder(proto: bytes):
                 done = [model.encode(t or "") for t in part.column("text").to_pylist()]
                 model.check()
                 if len(model) > REMEMBERED:
-                    model.clear()
+                    model.forget()
                 ends = np.cumsum([0, *(len(b) // 4 for b, _ in done)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b for b, _ in done]), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([t for _, t in done], pa.string())], ["row", "ids", "decoded"])
-        model.clear()  # an idle worker holds no segments
+        model.forget(everything=True)  # an idle worker holds no segments
     return run
 
 

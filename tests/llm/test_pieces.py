@@ -46,6 +46,18 @@ def test_random_texts(model, library):
     model.check()
 
 
+def test_both_agendas_agree_and_forgotten_segments_come_back(model, monkeypatch):
+    own = PieceModel(model.library.serialized_model_proto())
+    segs = ["▁" + w for w in "unbelievable aaaaaaaaaaaa interrelatedness xqzjv ......... éüéü".split()]
+    first = [own[s] for s in segs]
+    own.check()
+    own.forget()
+    assert not own and [own[s] for s in segs] == first and not own.unchecked  # met again: neither merged nor checked anew
+    own.forget(everything=True)
+    monkeypatch.setattr("quotaflow.llm.pieces.SHORT", 0)
+    assert [own[s] for s in segs] == first and own.unchecked == segs
+
+
 def test_check_finds_a_wrong_segment(model):
     own = PieceModel(model.library.serialized_model_proto())
     own.rank = {p: -r for p, r in own.rank.items()}

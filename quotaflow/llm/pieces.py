@@ -5,8 +5,9 @@ agenda, ordered by piece score and then by position, holds the adjacent pairs
 whose concatenation is a piece; the best pair is merged until none is left.
 Characters outside the vocabulary become byte pieces. Merges cannot cross two
 characters that stand side by side in no piece, so a text falls into segments
-that are encoded alone and remembered. Every new segment is checked against the
-sentencepiece library once per Arrow batch.
+that are encoded alone and remembered. The new segments of some rows are merged
+together, each with its own agenda as a row of a matrix. Every new segment is
+checked against the sentencepiece library within its Arrow batch.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +33,18 @@ from .common import table
 SPACE = "▁"
 #: A worker holds at most about twice this many segments: when it has come by so many, those
 #: that it held before and did not meet again are forgotten.
-REMEMBERED = 125_000
-#: A segment of at most this many characters keeps its agenda as a plain list.
+REMEMBERED = 100_000
+#: Segments of at most this many characters, all of them in the vocabulary, are merged together.
 SHORT = 32
-#: Rows of an Arrow batch encoded at a time.
-SLICE = 512
+#: Rows of an Arrow batch are encoded in runs of about this many characters.
+RUN = 1 << 19
+#: Segments whose agendas stand in one matrix.
+TOGETHER = 4096
 MODEL = "piece_bpe_32k.model"
 #: Bits of an agenda key that hold the position.
 PLACE = 40
+#: The rank of a pair that makes no piece.
+NEVER = 1 << 62
 
 
 class PieceModel(dict):
@@ -58,9 +64,8 @@ class PieceModel(dict):
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.plain = [None if i in self.byte else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.plain[sp.unk_id()] = " ⁇ "
-        self.unknown, self.end = sp.unk_id(), sp.eos_id()
+        self.unknown, self.last = sp.unk_id(), np.array([sp.eos_id()], np.int32).tobytes()
         self.split = re.compile(self._segments(), re.S)
-        self.never = len(order) << PLACE
         self.unchecked: list[str] = []
         self.older: dict[str, tuple[bytes, str]] = {}
 
@@ -83,26 +88,69 @@ class PieceModel(dict):
         sets = [f"[{re.escape(''.join(sorted(s)))}]+" for s in parts if s]
         return f"{SPACE}*(?:{'|'.join(sets)})|{SPACE}+(?=[^{SPACE}]|$)|." if sets else "."
 
-    def _merge_short(self, seg: str) -> list[str]:
-        """The agenda as a list of the adjacent pairs' ranks: its least value, the first
-        of equal ones, is the next merge."""
-        part, rank, never = list(seg), self.rank.get, self.never
-        agenda = [rank(a + b, never) for a, b in pairwise(seg)]
-        while agenda and (best := min(agenda)) != never:
-            i = agenda.index(best)
-            part[i] = p = part[i] + part.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(p + part[i + 1], never)
-            if i:
-                agenda[i - 1] = rank(part[i - 1] + p, never)
-        return part
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of pieces that make a piece: their sorted keys, that piece's id and its
+        place in the order of scores; last, a key that no pair has."""
+        wide = len(self.text) + 1
+        found = sorted((self.ids[p[:k]] * wide + self.ids[p[k:]], self.ids[p], r >> PLACE)
+                       for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        key, made, place = np.array([*found, (wide * wide, 0, 0)], np.int64).T.copy()
+        place[-1] = NEVER
+        return key, made, place
+
+    @cached_property
+    def letters(self) -> dict[str, int]:
+        """The vocabulary's lone characters."""
+        return {p: i for p, i in self.ids.items() if len(p) == 1}
+
+    def merge_together(self, segs: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids, as int32 bytes, and decoded texts of segments whose characters are all in the vocabulary. Row k of the agenda has
+        the ranks of the pairs of segment k; each round merges every row's least, the first of
+        equal ones. A column without a piece ends each row, so that no row meets the next."""
+        key, made, place = self.pairs
+        none = len(self.text)
+
+        def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pair = left * (none + 1) + right
+            at = np.searchsorted(key, pair)
+            at[key[at] != pair] = len(key) - 1
+            return made[at], place[at]
+
+        n, wide = len(segs), max(map(len, segs)) + 1
+        part = np.full(n * wide, none, np.int64)
+        size = np.fromiter(map(len, segs), np.int64, n)
+        inside = (np.arange(wide) < size[:, None]).ravel()
+        part[inside] = np.fromiter(map(self.letters.__getitem__, "".join(segs)), np.int64, int(size.sum()))
+        before, after = np.arange(n * wide) - 1, np.arange(n * wide) + 1
+        made_of, agenda = np.zeros(n * wide, np.int64), np.full(n * wide, NEVER)
+        first = np.flatnonzero(inside)
+        made_of[first], agenda[first] = look(part[first], part[first + 1])
+        rows = np.arange(n)
+        while rows.size:
+            ranks = agenda.reshape(n, wide)[rows]
+            best = ranks.argmin(axis=1)
+            go = ranks[np.arange(rows.size), best] != NEVER
+            rows = rows[go]
+            i = rows * wide + best[go]
+            j = after[i]
+            part[i], part[j], agenda[j] = made_of[i], none, NEVER
+            after[i] = k = after[j]
+            before[k] = i
+            h = before[i]
+            made_of[i], agenda[i] = look(part[i], part[k])
+            made_of[h], agenda[h] = look(part[h], part[i])
+        left = part != none
+        ids, ends = part[left], np.cumsum(left.reshape(n, wide).sum(axis=1)).tolist()
+        raw, texts = ids.astype(np.int32).tobytes(), [self.plain[i] for i in ids.tolist()]
+        for a, b in pairwise([0, *ends]):
+            yield raw[4 * a:4 * b], "".join(texts[a:b])
 
     def merge(self, seg: str) -> list[int]:
         """Ids of a segment, by the agenda of adjacent pairs."""
         n = len(seg)
-        part: list[str | None] = self._merge_short(seg) if n <= SHORT else list(seg)
-        if n > SHORT:
+        part: list[str | None] = list(seg)
+        if n > 1:
             rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
             before, after = list(range(-1, n - 1)), list(range(1, n + 1))
             agenda = [r + i for i, (a, b) in enumerate(pairwise(seg)) if (r := rank(a + b)) is not None]
@@ -148,35 +196,79 @@ class PieceModel(dict):
         out.append(run.decode(errors="replace"))
         return "".join(out)
 
+    def learn(self, segs: set[str]) -> None:
+        """Hold all of ``segs``."""
+        new, alone, known = [], [], frozenset(self.letters).issuperset
+        for s in segs - self.keys():
+            if (found := self.older.pop(s, None)) is not None:
+                self[s] = found
+            elif len(s) <= SHORT and known(s):
+                new.append(s)
+            else:
+                alone.append(s)
+        new.sort(key=len)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at:at + TOGETHER]
+            self.update(zip(some, self.merge_together(some), strict=True))
+        for s in alone:
+            ids = self.merge(s)
+            self[s] = array("i", ids).tobytes(), self.unmerge(ids)
+        self.unchecked += new + alone
+
     def __missing__(self, seg: str) -> tuple[bytes, str]:
-        if (found := self.older.pop(seg, None)) is not None:
-            self[seg] = found
-            return found
-        ids = self.merge(seg)
-        self.unchecked.append(seg)
-        self[seg] = found = (array("i", ids).tobytes(), self.unmerge(ids))
-        return found
+        self.learn({seg})
+        return self[seg]
 
     def check(self) -> None:
         """Compare the new segments with the library's ids and texts."""
-        lead = self.library.encode("\n")
+        lead = array("i", self.library.encode("\n")).tobytes()
         for plain in (False, True):
             segs = [s for s in self.unchecked if s.startswith(SPACE) != plain]
             texts = ["\n" + s if plain else s[1:].replace(SPACE, " ") for s in segs]
             known = self.library.encode(texts, num_threads=1)
             for s, theirs in zip(segs, known, strict=True):
-                ids = np.frombuffer(self[s][0], np.int32).tolist()
+                raw = lead + self[s][0] if plain else self[s][0]
                 # A lone space mark is the dummy prefix of an empty text, which the library leaves out.
-                if (lead + ids if plain else ids) != theirs and s != SPACE:
-                    raise ValueError(f"the library encodes {s!r} as {theirs}, not {ids}")
+                if raw != array("i", theirs).tobytes() and s != SPACE:
+                    raise ValueError(f"the library encodes {s!r} as {theirs}, not {array('i', raw).tolist()}")
         self.unchecked.clear()
 
+    def segments(self, text: str) -> list[str]:
+        return self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def joined(self, segs: list[str]) -> tuple[bytes, str]:
+        if not segs:
+            return self.last, ""
+        ids, texts = zip(*[self[s] for s in segs], strict=True)
+        return b"".join(ids) + self.last, "".join(texts)[1:]
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """int32 ids (end id last) as bytes, and the text that they decode to."""
-        if not text:
-            return np.array([self.end], np.int32).tobytes(), ""
-        ids, texts = zip(*[self[s] for s in self.split.findall(SPACE + text.replace(" ", SPACE))], strict=True)
-        return b"".join([*ids, np.array([self.end], np.int32).tobytes()]), "".join(texts)[1:]
+        segs = self.segments(text)
+        self.learn(set(segs))
+        return self.joined(segs)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """:meth:`encode` of every text, checked; new segments are learned together."""
+        rows = [self.segments(t) for t in texts]
+        self.learn(set().union(*rows))
+        self.check()
+        done = [self.joined(segs) for segs in rows]
+        if len(self) > REMEMBERED:
+            self.forget()
+        return done
+
+
+def runs(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """(first, rows) of consecutive runs of rows whose sizes come to RUN."""
+    at = n = total = 0
+    for size in sizes:
+        n, total = n + 1, total + size
+        if total >= RUN:
+            yield at, n
+            at, n, total = at + n, 0, 0
+    if n:
+        yield at, n
 
 
 @lru_cache(maxsize=2)
@@ -188,12 +280,10 @@ def _encoder(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(proto)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                done = [model.encode(t or "") for t in part.column("text").to_pylist()]
-                model.check()
-                if len(model) > REMEMBERED:
-                    model.forget()
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+            for at, n in runs(sizes):
+                part = batch.slice(at, n)
+                done = model.encode_all([t or "" for t in part.column("text").to_pylist()])
                 ends = np.cumsum([0, *(len(b) // 4 for b, _ in done)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([b for b, _ in done]), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([t for _, t in done], pa.string())], ["row", "ids", "decoded"])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, written
+from .common import connected_components, table, tidy, written
 
 #: Minwise functions, bytes of the sketch that travels with a row, standard errors of slack in the sketch test.
 MINWISE, SKETCH, SLACK = 128, 64, 4.5
@@ -83,6 +83,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(size: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = {"doc_id": pdf["doc_id"], "h": pdf["h"], "n": [], "a": [], "b": [], "mins": []}
@@ -110,6 +111,7 @@ def _branch(node: np.ndarray, row: np.ndarray, mins: np.ndarray, levels: int) ->
 
 
 def _roots(trees: int, depth: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             mins = np.frombuffer(b"".join(pdf["mins"]), np.uint32).reshape(-1, MINWISE)
@@ -126,6 +128,7 @@ def _short(mins: np.ndarray) -> np.ndarray:
 
 
 def _children(depth: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             mins = np.frombuffer(b"".join(pdf["mins"]), np.uint32).reshape(-1, MINWISE)
@@ -183,6 +186,7 @@ COMPARED = "node long, id long, other long, sketch binary"
 
 def _compare(least: int):
     """Forest pairs (id, other), and members that have further plausible partners (other is null)."""
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cut in _runs(batches):
             size = np.diff(cut)
@@ -217,6 +221,7 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def _confirm(size: int, percent: int):
     """Keeps the pairs (u, v, text_u, text_v) that link by their full sets."""
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets: dict[str, np.ndarray] = {}
@@ -231,6 +236,7 @@ def _confirm(size: int, percent: int):
 def _confirm_inside(least: int, size: int, percent: int):
     """Links between components, from members of a node with their full texts:
     enough of them to join every two components that a pair of the node links."""
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cut in _runs(batches):
             out = []

@@ -3,8 +3,12 @@ in the shared folder, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +95,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: a Python worker that waits for its
+    next task would keep it from its executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that gives its memory back at its end."""
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+    return tidied

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 
 SPACE = "▁"
 #: A worker holds at most about twice this many segments: when it has come by so many, those
@@ -277,6 +277,7 @@ def _model(proto: bytes) -> PieceModel:
 
 
 def _encoder(proto: bytes):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(proto)
         for batch in batches:

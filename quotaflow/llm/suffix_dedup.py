@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parallelism, table, text_bytes, written
+from .common import give_back, parallelism, table, text_bytes, tidy, written
 
 #: Length of a match, of the hashed string at an anchor, and anchors a window can choose from.
 SPAN, GRAM = 50, 20
@@ -157,6 +157,7 @@ def _index_rows(ranges: int):
                 out["keys"].append(hit_key[order[a:b]].tobytes())
         return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, keys = [], []
         copies: dict[bytes, int] = {}
@@ -220,6 +221,7 @@ def _by_doc(docs: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
 
 
 def _scan_range(pdf: pd.DataFrame) -> pd.DataFrame:
+    give_back()  # of the range before
     part = int(pdf["part"].iloc[0])
     if part < 0:
         return _by_doc(np.frombuffer(b"".join(pdf["docs"]), np.int64), np.frombuffer(b"".join(pdf["keys"]), np.uint64))
@@ -245,6 +247,7 @@ def _window_rows(ranges: int):
         """rows: (doc_id, rid, first place, from there to the last place, length, back, key)"""
         return (part, *(np.array(c, kind).tobytes() for c, kind in zip(zip(*rows, strict=True), KINDS.values(), strict=True)), context)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[int, list]] = {}  # (key, back, bytes) -> doc_id, its [rid, first, last]
         done: list[tuple[int, int, int, int, int]] = []  # doc_id, rid, first, last, length
@@ -311,6 +314,7 @@ def _repeats(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """(doc_id, rid, spans): int64 pairs of the byte ranges that windows of this key range cover."""
+    give_back()
     docs, rids, starts, more, sizes, backs, keys = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in KINDS.items())
     starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
     lasts = starts + more
@@ -373,6 +377,7 @@ def _cut(characters: bool):
         spans = np.array([[0, len(raw)]]) if whole is not None else union(np.frombuffer(b"".join(lists or ()), np.int64).reshape(-1, 2))
         return whole_characters(raw, spans) if characters else spans
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4 * SLICE):

@@ -4,7 +4,8 @@ A tolerant tokenizer builds the element nesting of a page. Elements that are nev
 article text (scripts, menus, footers, forms, and boxes whose class or id says
 so) are left out. Every other container's subtree is hashed; the hashes are
 counted per host in Spark, and subtrees that recur on many pages of the host
-are deleted when the page is read the second time.
+are deleted when the page is read the second time. A subtree's hash is that of all
+its blocks in both readings, so of nested ones the outermost goes whole.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
     if not page:
         return [], []
     blocks: list[tuple[str, bool]] = []  # text, inside a root
+    gone: set[int] = set()  # blocks of templates; they still count for the hashes of what holds them
     words: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # tag, first block, inside a root before it
     hashes: set[int] = set()
@@ -94,7 +96,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
             if first < len(blocks) and not out and tag in (INSIDE if root else OUTSIDE):
                 h = xxhash.xxh64_intdigest("\n".join([tag, *(t for t, _ in blocks[first:])]).encode("utf-8", "surrogatepass")) - (1 << 63)
                 if h in templates:
-                    del blocks[first:]
+                    gone.update(range(first, len(blocks)))
                 else:
                     hashes.add(h)
 
@@ -165,7 +167,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
                 root = found = True
     close(0)
     flush()
-    return [t for t, inside in blocks if inside or not found], sorted(hashes)
+    return [t for i, (t, inside) in enumerate(blocks) if (inside or not found) and i not in gone], sorted(hashes)
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -48,6 +48,14 @@ def test_templates_are_per_host_and_articles_stay(spark):
     assert all(got[20 + i] == "The same line" for i in range(9))
 
 
+def test_a_template_with_own_text_and_nested_templates_goes_whole(spark):
+    box, inner = "<div>About us: <p>We sell tea</p></div>", "<div><p>Subscribe</p><ul><li>by mail</li></ul></div>"
+    rows = [(i, f"http://a.org/{i}", f"{box}<div>Text {i}</div>") for i in range(6)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<article><p>Text {i}</p>{inner}</article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {at + i: f"Text {i}" for at in (0, 10) for i in range(6)}
+
+
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, None, None), (1, "x", "<p>a"), (1, "x", "<p>a"), (2, None, "<p>b")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'q' AS host", "1 AS hashes", "'z' AS text", "2 AS n_chars")

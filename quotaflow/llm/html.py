@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: A subtree is a template if at least this many pages, and this share of the host's pages, hold it.
+#: A subtree is a template if at least this many pages of different text, and this share of the host's, hold it.
 MIN_PAGES, MIN_SHARE = 5, 0.3
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
@@ -172,7 +172,9 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"host": pdf["host"], "hashes": [parse(h)[1] for h in pdf["html"]]})
+        parsed = [parse(h) for h in pdf["html"]]
+        yield pd.DataFrame({"host": pdf["host"], "hashes": [hashes for _, hashes in parsed], "content": [
+            xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63) for texts, _ in parsed]})
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +184,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur on at least ``min_pages`` pages and
-    ``min_share`` of the pages of a host. A page counts a subtree once, so a host
-    has at most (most subtrees of a page) / min_share of them."""
-    seen = pages.select("host", "html").mapInPandas(_hashes, "host string, hashes array<long>")
-    # A null hash counts the pages themselves: both counts come from one pass over the html.
-    each = seen.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash"))
+    """host, hashes: the subtrees that recur in at least ``min_pages`` contents and
+    ``min_share`` of the contents of a host. Pages of one text are one content and
+    count a subtree once, so a host has at most (most subtrees of a page) / min_share."""
+    seen = pages.select("host", "html").mapInPandas(_hashes, "host string, hashes array<long>, content long")
+    # A null hash counts the contents themselves: both counts come from one pass over the html.
+    each = seen.select("host", "content", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
     counts = written(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
     hosts = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
     recurring = counts.where("hash IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
@@ -198,8 +200,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives the empty text. The host is the url's, in lower
-    case; pages without one form a site of their own. Repeated rows are repeated
-    pages. Other columns are ignored.
+    case; pages without one form a site of their own. Copies of a page, repeated
+    rows or under other urls, count as one page of the site. Other columns are ignored.
     """
     hosted = pages.select("page_id", "url", "html", F.coalesce(F.regexp_extract(
         F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")).alias("host"))

@@ -56,6 +56,20 @@ def test_a_template_with_own_text_and_nested_templates_goes_whole(spark):
     assert got == {at + i: f"Text {i}" for at in (0, 10) for i in range(6)}
 
 
+def test_copies_of_a_page_are_not_recurrence(spark):
+    def body(i):
+        return f"<div><h1>Head {i}</h1><div><p>Text {i}</p><ul><li>Point {i}</li></ul></div></div>"
+
+    rows = [(i, f"http://a.org/{i}", body(max(i, 10)) + "<div>Box</div>") for i in range(30)]  # 11 copies
+    rows += [(40, "http://a.org/0", body(10) + "<div>Box</div>")] * 3
+    rows += [(50 + i, f"http://b.org/{i}", f"<article>{body(max(i, 10))}</article>") for i in range(30)]
+    got = [(r["page_id"], r["text"]) for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()]
+    assert len(got) == len(rows)
+    for i, t in got:
+        n = 10 if i == 40 else max(i % 50, 10)
+        assert t == f"Head {n}\nText {n}\nPoint {n}", i
+
+
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, None, None), (1, "x", "<p>a"), (1, "x", "<p>a"), (2, None, "<p>b")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'q' AS host", "1 AS hashes", "'z' AS text", "2 AS n_chars")

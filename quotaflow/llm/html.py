@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: A subtree is a template if at least this many pages of different text, and this share of the host's, hold it.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: A subtree is a template if at least this many pages of different text of the host hold it,
+#: and at least the root of the number of those pages: a share that falls with the host's size.
+MIN_PAGES = 5
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
 NEVER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "audio", "video", "canvas", "fieldset"}
@@ -173,7 +174,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         parsed = [parse(h) for h in pdf["html"]]
-        yield pd.DataFrame({"host": pdf["host"], "hashes": [hashes for _, hashes in parsed], "content": [
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "hashes": [hashes for _, hashes in parsed], "content": [
             xxhash.xxh64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63) for texts, _ in parsed]})
 
 
@@ -183,17 +184,26 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "\n".join(parse(h, frozenset(t) if t is not None else frozenset())[0]) for h, t in zip(pdf["html"], pdf["hashes"], strict=True)]})
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur in at least ``min_pages`` contents and
-    ``min_share`` of the contents of a host. Pages of one text are one content and
-    count a subtree once, so a host has at most (most subtrees of a page) / min_share."""
-    seen = pages.select("host", "html").mapInPandas(_hashes, "host string, hashes array<long>, content long")
-    # A null hash counts the contents themselves: both counts come from one pass over the html.
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, page, hashes, content for every row of ``pages`` (host, page, html) whose html is not empty."""
+    return written(pages.where("html <> ''").select("host", "page", "html").mapInPandas(
+        _hashes, "host string, page long, hashes array<long>, content long"), "subtrees")
+
+
+def site_templates(seen: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, hash: the subtrees that recur in at least ``min_pages`` contents of a host
+    and the root of their number. Pages of one text are one content and count a subtree once."""
+    # A null hash counts the contents themselves.
     each = seen.select("host", "content", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
-    counts = written(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtrees")
+    counts = written(each.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull()), "subtree-counts")
     hosts = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    recurring = counts.where("hash IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return recurring.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    return counts.where("hash IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.sqrt("pages")).select("host", "hash")
+
+
+def page_templates(seen: DataFrame, templates: DataFrame) -> DataFrame:
+    """host, page, hashes: the templates that a page holds, for pages with any."""
+    each = seen.select("host", "page", F.explode("hashes").alias("hash"))
+    return each.join(templates, ["host", "hash"], "left_semi").groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -203,10 +213,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     case; pages without one form a site of their own. Copies of a page, repeated
     rows or under other urls, count as one page of the site. Other columns are ignored.
     """
-    hosted = pages.select("page_id", "url", "html", F.coalesce(F.regexp_extract(
+    hosted = pages.select("page_id", "url", "html", F.xxhash64("html").alias("page"), F.coalesce(F.regexp_extract(
         F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")).alias("host"))
-    templates = written(site_templates(hosted), "site-templates")
-    texts = (hosted.join(templates, "host", "left").select("page_id", "url", "html", "hashes")
+    seen = subtrees(hosted)
+    templates = written(site_templates(seen), "site-templates")
+    held = written(page_templates(seen, templates), "page-templates")
+    texts = (hosted.join(held.hint("shuffle_hash"), ["host", "page"], "left").select("page_id", "url", "html", "hashes")
              .mapInPandas(_texts, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -70,6 +70,13 @@ def test_copies_of_a_page_are_not_recurrence(spark):
         assert t == f"Head {n}\nText {n}\nPoint {n}", i
 
 
+def test_boxes_on_a_section_of_a_large_host(spark):
+    box = "<div><p>Notice of the section</p></div>"
+    rows = [(i, f"http://a.org/{i}", f"{box if i % 10 == 0 else ''}<div><p>Text {i}</p>{'<p>Rare</p>' if i % 100 == 0 else ''}</div>") for i in range(400)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Text {i}" + "\nRare" * (i % 100 == 0) for i in range(400)}
+
+
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     rows = [(None, None, None), (1, "x", "<p>a"), (1, "x", "<p>a"), (2, None, "<p>b")]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'q' AS host", "1 AS hashes", "'z' AS text", "2 AS n_chars")

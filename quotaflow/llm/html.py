@@ -2,10 +2,11 @@
 
 A tolerant tokenizer builds the element nesting of a page. Elements that are never
 article text (scripts, menus, footers, forms, and boxes whose class or id says
-so) are left out. Every other container's subtree is hashed; the hashes are
-counted per host in Spark, and subtrees that recur on many pages of the host
-are deleted when the page is read the second time. A subtree's hash is that of all
-its blocks in both readings, so of nested ones the outermost goes whole.
+so; inside an article only by whole names that are certain) are left out. Every
+other container's subtree is hashed; the hashes are counted per host in Spark, and
+subtrees that recur on many pages of the host are deleted when the page is read the
+second time. A subtree's hash is that of all its blocks in both readings, so of
+nested ones the outermost goes whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import table, written
 #: and at least the root of the number of those pages: a share that falls with the host's size.
 MIN_PAGES = 5
 
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "select", "xmp", "noembed", "noframes"}
 NEVER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "audio", "video", "canvas", "fieldset"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = {"html", "body", "article", "main", "section", "div", "header", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li",
@@ -38,12 +39,24 @@ CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "
 #: Containers whose recurrence counts; inside an article, paragraphs and headings never do.
 OUTSIDE = BLOCK - ROOTS - {"html", "body"}
 INSIDE = {"div", "section", "ul", "ol", "dl", "table", "figure", "header", "address", "details"}
-#: Words of a class or id that name something other than the article.
+#: Words of a class or id that name something other than the article, outside of it; the
+#: second list's only if they are the whole name, as they are also parts of names of content.
 BOX = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|"
-    r"overlay|newsletter|subscribe|signup|login|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|"
-    r"footer|masthead|site-header|page-header|header|toolbar|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond)"
-    r"(?=$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|"
+    r"navbar|nav|navigation|breadcrumbs?|pagination|pager|footer|masthead|site-header|page-header|comments?|commentlist|disqus)(?=$|[\s_-])|"
+    r"(?:^|(?<=\s))(?:notice|notification|alert|overlay|signup|login|widget|menu|header|toolbar|share|sharing|social|related|recommended|"
+    r"replies|respond)(?=$|\s)", re.I)
+#: Whole classes or ids that name such a box for certain, also inside an article.
+SURE = re.compile(
+    r"(?:^|(?<=\s))(?:ads?|adsbygoogle|ad[_-]?(?:box|slot|unit|banner|container|wrapper)|advert|advertisement|advertising|sponsored|"
+    r"(?:cookie|cookies|consent|gdpr)[_-](?:notice|banner|bar|box|popup|message)|newsletter|newsletter[_-](?:box|form|signup)|popup|modal|"
+    r"sidebar(?:[_-][\w-]*)?|side-bar|(?:left|right|site|page|main)[_-]sidebar|widget[_-]area|(?:main|top|site)[_-]menu|navbar|navigation|"
+    r"breadcrumbs?|pagination|pager|site[_-](?:nav|navigation|header|footer)|"
+    r"social[_-](?:share|sharing|links|icons|buttons|media)|share[_-](?:buttons?|bar|box|links|icons)|sharedaddy|"
+    r"(?:related|recommended)[_-](?:posts?|articles?|stories|links)|comments|comment[_-]?list|comments[_-](?:area|section)|disqus(?:_thread)?|replies|respond)"
+    r"(?=$|\s)", re.I)
+#: An article of this class is a reader's, not the page's.
+COMMENT = re.compile(r"(?:^|(?<=\s))(?:(?:user|reader)-)?comments?(?:-\d+|-body)?(?=$|\s)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
@@ -53,13 +66,17 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 def _left_out(tag: str, attrs: str, in_root: bool) -> bool:
     if tag in NEVER or tag == "header" and not in_root:
         return True
-    if not attrs or tag in ("html", "body") or tag in ROOTS and "comment" not in attrs.lower():
+    if not attrs or tag in ("html", "body"):
         return False
+    if tag in ROOTS:
+        return any(name.lower() in ("class", "id") and COMMENT.search(value.strip("\"'")) for name, value in ATTR.findall(attrs))
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and BOX.search(value) or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name in ("class", "id") and (SURE.search(value) or not in_root and BOX.search(value)):
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 

@@ -24,6 +24,18 @@ def test_parts_that_are_not_the_article():
     assert text(page) == "Head & tail\nOne two three bold\nSecond <p> 1 < 2\na\nb"
 
 
+def test_classes_that_only_share_a_word_with_a_box_stay():
+    parts = ['<header class="entry-header"><h1>Head</h1></header>', '<div class="article-header">Line</div>',
+             '<div class="elementor-widget text"><p>Body</p></div>', '<section class="related-work">Others</section>',
+             '<section id="social-history">Past</section>', '<div class="notice-of-meeting">At six</div>',
+             '<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding="tex">x=1</annotation></math></p>']
+    boxes = '<div class="ad">Buy</div><div class="wide cookie-notice">Cookies</div><div id="newsletter">Mail</div><ul class="share-buttons"><li>Share</ul>'
+    want = "Head\nLine\nBody\nOthers\nPast\nAt six\nSo x=1"
+    for root in ("article", "main"):
+        assert text(f"<body class='x'><div class='no-sidebar'><{root} class='post comment-open'>{''.join(parts)}{boxes}<section class='comments'>Me too</section></{root}></div></body>") == want
+    assert text(f"<body><div class='header'>Site</div><div class='body'>{''.join(parts[1:])}{boxes}</div></body>") == want[5:]
+
+
 def test_without_root_whole_body_counts():
     assert text("<p>a</p><div>b<div>c</div>d</div>") == "a\nb\nc\nd"
     assert text("plain  text &eacute;&#233;&nope;") == "plain text éé&nope;"

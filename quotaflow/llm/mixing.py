@@ -3,7 +3,8 @@
 A document's permutation key is a seeded hash. The key's leading bits cut a
 source into blocks in a random order, more of them the larger the source. A source's target gives whole passes over
 its blocks and one partial pass: the blocks (then, inside the last block, ever
-finer slices of the key) that come first in the permutation. The taken blocks are
+finer slices of the key) that come first in the permutation. A document that is
+longer than the rest is passed over, and the pass goes on with those that fit. The taken blocks are
 dealt to the output shards by a binary tree: at every node a seeded permutation
 of all its blocks, whatever their source, is halved, so the left child's counts
 by source are one multivariate-hypergeometric draw from the node's exact quotas.
@@ -36,6 +37,10 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")), F.lit(seed))
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
 def _place() -> Column:
     return F.shiftrightunsigned("mix_key", 64 - PLACE_BITS)
 
@@ -64,24 +69,49 @@ def source_targets(sizes: DataFrame) -> DataFrame:
             .select("source", "source_size", F.least("cap", F.greatest(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"), "bits"))
 
 
-def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row a source: passes over all of it, and the place where its partial pass ends."""
-    cuts = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
-        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumnRenamed("source", "cut_source")
+def _pass(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cuts`` (cut_source, rest, low, most, ...) after the rows from place ``low`` on that have
+    at most ``most`` words: ``high`` is the place of the first that does not fit into ``rest``
+    (null if there are no rows), ``rest`` what those before it leave."""
+    own = [c for c in cuts.columns if c != "rest"]
+    fits = F.col("source").eqNullSafe(F.col("cut_source")) & (_place() >= F.col("low")) & (F.col("size") <= F.col("most"))
     for level in range(len(DIGITS)):
         inside = reduce(lambda a, k: a & (_digit(k) == F.col(f"cut{k}")), range(level), F.lit(True))
-        rows = sized if level == 0 else sized.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & inside)
-        sums = rows.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words"))
+        sums = (rows.join(cuts.select("cut_source", "low", "most", *[f"cut{k}" for k in range(level)]), fits & inside)
+                .groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("words")))
         upto = W.partitionBy("source").orderBy("digit")
         sums = sums.withColumn("upto", F.sum("words").over(upto)).withColumnRenamed("source", "sum_source")
-        end = cuts.join(sums, F.col("cut_source").eqNullSafe(F.col("sum_source")) & (F.col("upto") <= F.col("rest")), "left")
-        kept = [c for c in cuts.columns if c != "rest"]
-        cuts = (end.groupBy(*kept, "rest").agg(F.coalesce(F.max("digit") + 1, F.lit(0)).alias(f"cut{level}"),
-                                              F.coalesce(F.max("upto"), F.lit(0)).alias("done"))
+        end = cuts.join(sums, F.col("cut_source").eqNullSafe(F.col("sum_source")), "left")
+        over = F.min(F.when(F.col("upto") > F.col("rest"), F.col("digit")))  # null at the first level: all fit
+        kept = [*own, *[f"cut{k}" for k in range(level)], *(["some"] if level else [])]
+        cuts = (end.groupBy(*kept, "rest").agg(F.coalesce(over, F.lit(0 if level else 1 << DIGITS[0])).alias(f"cut{level}"),
+                                              F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("done"),
+                                              *([] if level else [(F.count("digit") > 0).alias("some")]))
                 .withColumn("rest", F.col("rest") - F.col("done")).drop("done"))
         cuts = written(cuts, "mix-cuts")
     place = sum((F.col(f"cut{k}").cast("long") * (1 << sum(DIGITS[k + 1:])) for k in range(len(DIGITS))), F.lit(0))
-    return cuts.select("cut_source", "source_size", "target", "bits", "passes", place.alias("cut"))
+    return cuts.select(*own, "rest", F.when(F.col("some"), place).alias("high"))
+
+
+def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row a source: passes over all of it, and the pieces (places from low to below high,
+    documents of at most so many words) of its partial pass, which ends before the place ``cut``.
+    Every piece but the first starts behind a document that did not fit; what is left falls with each."""
+    cuts = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
+        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumnRenamed("source", "cut_source") \
+        .withColumns({"low": F.lit(0).cast("long"), "most": F.lit((1 << 63) - 1), "cut": F.lit(0).cast("long"),
+                      "pieces": F.array().cast("array<struct<low:bigint,high:bigint,most:bigint>>")})
+    rows = sized
+    while True:
+        piece = F.array(F.struct("low", "high", "most"))
+        cuts = written(_pass(rows, cuts).select(
+            "cut_source", "source_size", "target", "bits", "passes", "rest", F.coalesce("high", "cut").alias("cut"),
+            F.when(F.col("high").isNull(), F.col("pieces")).otherwise(F.concat("pieces", piece)).alias("pieces"),
+            F.coalesce(F.col("high") + 1, F.col("low")).alias("low"), F.floor("rest").cast("long").alias("most")), "mix-pieces")
+        rows = sized.where("size > 0")
+        if rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (_place() >= F.col("low"))
+                     & (F.col("size") <= F.col("most"))).isEmpty():
+            return cuts.drop("rest", "low", "most")
 
 
 def _tree(cuts: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -110,18 +140,19 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 17) -> tuple[DataFra
     mix_key), each source's target and cut, each block's shards."""
     sized = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        _key(seed).alias("mix_key")), "mix-sized")
+        _size(), _key(seed).alias("mix_key")), "mix-sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = _cuts(sized, written(source_targets(sizes), "mix-targets"))
     return sized, cuts, written(_tree(cuts, shards, seed), "mix-tree")
 
 
 def with_times(rows: DataFrame, cuts: DataFrame, tree: DataFrame) -> DataFrame:
-    """``rows`` (source, mix_key, ...) with source_size, target, times and shards."""
+    """``rows`` (source, size, mix_key, ...) with source_size, target, times and shards."""
     own = rows.columns
     return (rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-            .withColumn("times", (F.col("passes") + (_place() < F.col("cut")).cast("int")).cast("int"))
+            .withColumn("place", _place())
+            .withColumn("started", F.expr("exists(pieces, p -> place >= p.low AND place < p.high AND size <= p.most)"))
+            .withColumn("times", (F.col("passes") + F.col("started").cast("int")).cast("int"))
             .withColumn("mix_block", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(mix_key, {64 - PLACE_BITS}), {PLACE_BITS} - bits) AS int)"))
             .join(tree, F.col("source").eqNullSafe(F.col("tree_source")) & (F.col("mix_block") == F.col("tree_block")), "left")
             .select(*own, "source_size", "target", "times",
@@ -145,7 +176,7 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     _, cuts, tree = mix_plan(docs, shards, seed)
     names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
     own = [F.col(f"row.{q}").alias(c) for q, c in zip(names, docs.columns, strict=True)]
-    held = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"),
+    held = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"), _size(),
                        F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.lit(seed)).alias("mix_key"))
     dealt = (with_times(held, cuts, tree).select("row", "mix_key", F.posexplode("shards").alias("copy", "shard"))
              .withColumn("order", F.xxhash64("mix_key", "copy", F.lit(seed))))

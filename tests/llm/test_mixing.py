@@ -64,6 +64,21 @@ def test_many_documents_hot_source_and_shards(spark):
     assert sorted(load) == list(range(8)) and max(load.values()) < 1.5 * min(load.values())
 
 
+def test_partial_pass_fills_the_rest(spark):
+    """Also after an empty slice of the key and behind a long document nothing that fits is left out."""
+    texts = [("x " * 5, "en", f"s{s}") for s in range(12) for _ in range(30 + 17 * s)]
+    docs = documents(spark, texts + [("long " * (40 + 30 * s), "en", f"s{s}") for s in range(12)])
+    rows, source = mix_sources(docs).collect(), {r["doc_id"]: r["source"] for r in docs.collect()}
+    for s in set(source.values()):
+        mine = [r for r in rows if source[r["doc_id"]] == s]
+        short = mine[0]["target"] - sum(r["taken"] for r in mine)
+        passes = int(mine[0]["target"] // mine[0]["source_size"])
+        left = [r["size"] for r in mine if len(r["shards"]) == passes]
+        assert -1e-6 <= short < min(left, default=1), s
+    plan = {r["doc_id"]: len(r["shards"]) for r in rows}
+    assert Counter(r["doc_id"] for r in mixed_rows(docs).collect()) == Counter({d: n for d, n in plan.items() if n})
+
+
 def test_rows_of_the_mix(spark):
     docs = documents(spark, [(f"w{i} " * 5, "en", f"s{i % 4}") for i in range(300)]).selectExpr("*", "1 AS size", "2 AS shard", "3 AS `a.b`", "4 AS row")
     plan = {r["doc_id"]: len(r["shards"]) for r in mix_sources(docs).collect()}

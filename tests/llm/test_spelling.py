@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quotaflow.llm import spelling
+from quotaflow.llm.common import table
+from quotaflow.llm.spelling import Vocabulary, op11_spelling_variants, spelling_variants, word_counts
+from helpers import SMALL, collected, documents
+
+
+def plain_words(rows):
+    """Counts of the words of (doc_id, text) rows."""
+    n = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c < "\x80" else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            n[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += 1
+    return {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
+
+
+def near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_variants(n):
+    form, rows = {}, {}
+    for w in n:
+        close = sorted((-n[v], v) for v in n if abs(len(v) - len(w)) < 2 and near(w, v))
+        form[w] = close[0][1] if close and -close[0][0] >= 5 * n[w] else None
+        rows[w] = len(close)
+    def root(w):
+        return w if form[w] is None else root(form[w])
+    return sorted((w, form[w], root(w), n[w], rows[w], n[form[w]] if form[w] else None) for w in n)
+
+
+def result(df):
+    return sorted(tuple(r) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect())
+
+
+def test_query_against_brute_force(spark):
+    rows = [(r[0], r[1]) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
+    want = plain_variants(plain_words(rows))
+    assert want and result(op11_spelling_variants(spark, SMALL)) == want
+
+
+def random_words(alphabet, number, seed, shortest=6, longest=9):
+    rng = random.Random(seed)
+    words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(shortest, longest))) for _ in range(number)}
+    for w in list(words):  # variants at every place, runs of one letter included
+        i, c = rng.randrange(len(w)), rng.choice(alphabet)
+        words |= {w[:i] + c + w[i:], w[:i] + c + w[i + 1:], w[:i] + w[i] + w[i:]} | ({w[:i] + w[i + 1:]} if len(w) > 6 else set())
+    return {w: rng.choice([5, 6, 7, 25, 26, 40, 130, 700, 4000]) for w in sorted(words)}
+
+
+@pytest.mark.parametrize("cell", [1 << 18, 300, 60])
+def test_random_words_in_cells_and_slices(spark, monkeypatch, cell):
+    """Few letters give many near words and ties; small cells cut hot beginnings into slices."""
+    monkeypatch.setattr(spelling, "CELL", cell)
+    n = random_words("abé", 90, 1) | random_words("abcdefghÿ", 60, 2)
+    got = spelling_variants(spark.createDataFrame(list(n.items()), "word string, n long"))
+    assert result(got) == plain_variants(n)
+
+
+def test_both_searches_of_the_index():
+    n = random_words("abc", 60, 3)
+    index = Vocabulary(list(n))
+    for cut in (0, 2, 3, 5):
+        words = sorted(n)[:40] + ["zzzzzz", "abczab"]
+        of, found = index.near(words, np.full(len(words), cut))
+        got = sorted((words[o], index.words[f]) for o, f in zip(of, found, strict=True))
+        assert got == sorted((w, v) for w in words for v in n if near(w, v) and v[:cut] == w[:cut])
+
+
+def test_chain_of_forms(spark):
+    n = {"abcdef": 5, "abcdeg": 25, "abcdhg": 125, "abcihg": 625, "abjihg": 3125, "zbjihg": 15625}
+    assert {r[2] for r in result(spelling_variants(spark.createDataFrame(list(n.items()), "word string, n long")))} == {"zbjihg"}
+
+
+def test_a_very_long_word(spark):
+    long = "abcdefghij" * 2000
+    n = {long: 100, long[:7000] + "x" + long[7000:]: 5, long[:-1]: 10, "abcdef": 9}
+    assert result(spelling_variants(spark.createDataFrame(list(n.items()), "word string, n long"))) == plain_variants(n)
+
+
+def test_nulls_case_repeats_empty_tables_and_further_columns(spark):
+    texts = [None, "", "Été ÉCOLES écoles " * 6, "strasse straße Straße×x " * 5, "aaaaaa " * 30 + "aaaaab " * 6, "aaaaaa1aaaaaa_aaaaaa", "123 ,;"]
+    docs = documents(spark, texts).selectExpr("*", "1 AS word", "2 AS n", "'z' AS key")
+    docs = docs.union(docs.where("doc_id = 4")).union(docs.selectExpr("CAST(NULL AS BIGINT)", "* EXCEPT (doc_id)"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["word"]: r["n"] for r in collected(word_counts(docs), "word")} == plain_words(rows)
+    assert result(spelling_variants(word_counts(docs))) == plain_variants(plain_words(rows))
+    assert spelling_variants(word_counts(docs.limit(0))).count() == 0

@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from quotaflow.llm.decontaminate import ORACLE_OP12, contamination, find_hits, op12_decontamination
+from helpers import SMALL, collected, documents, oracle
+
+ITEMS = "item_id long, text string"
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+
+
+def plain(docs, items):
+    rows = []
+    for doc, text in docs:
+        w, hit, ids = words_of(text), set(), set()
+        for item, t in items:
+            v = words_of(t)
+            n = min(len(v), 10)
+            for j in range(len(v) - n + 1 if n else 0):
+                for i in range(len(w) - n + 1):
+                    if w[i:i + n] == v[j:j + n]:
+                        hit |= set(range(i, i + n))
+                        ids.add("" if item is None else str(item))
+        sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        rows.append({"doc_id": doc, "n_words": len(w), "n_hit": len(hit), "n_items": len(ids), "items_sha256": sha, "contaminated": bool(hit)})
+    return rows
+
+
+def check(spark, docs, items):
+    got = collected(contamination(docs, spark.createDataFrame(items, ITEMS)), "doc_id", "n_words", "n_hit")
+    want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], items)
+    want.sort(key=lambda r: [(r[k] is not None, r[k]) for k in ("doc_id", "n_words", "n_hit")])
+    assert got == want
+    return got
+
+
+def test_query_against_sql(spark):
+    want = sorted(oracle(ORACLE_OP12, SMALL, "documents", "benchmark"), key=lambda r: r["doc_id"])
+    assert collected(op12_decontamination(spark, SMALL), "doc_id") == want
+    assert any(r["contaminated"] for r in want) and not all(r["contaminated"] for r in want)
+
+
+def test_random_spans_of_few_words(spark):
+    """Few words: fingerprints collide and repeat, spans of 9 to 12 words are shared often."""
+    rng = random.Random(1)
+    text = lambda n, k: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    items = [(i, text(rng.choice([3, 7, 9, 10, 11, 25]), rng.choice([2, 4, 8]))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        w = text(rng.randint(0, 60), rng.choice([2, 3, 8])).split(" ")
+        v = rng.choice(items)[1].split(" ")
+        n, i = rng.choice([9, 10, 12]), rng.randint(0, len(w))
+        j = rng.randint(0, max(len(v) - n, 0))
+        texts.append(" ".join(w[:i] + v[j:j + n] + w[i:]))
+    got = check(spark, documents(spark, texts), items)
+    assert 10 < sum(r["contaminated"] for r in got) < 60
+
+
+def test_nine_words_are_clean_and_ten_are_hit(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    nine, ten = (" ".join(item.split()[7:7 + n]) for n in (9, 10))
+    got = check(spark, documents(spark, [f"x {nine} y", f"x {ten} y", f"{ten}. {ten}", item.upper(), f"a,b;{item}"]), [(5, item), (10, ten)])
+    assert [r["n_hit"] for r in got] == [0, 10, 20, 30, 30] and [r["n_items"] for r in got] == [0, 2, 2, 2, 2]
+
+
+def test_nulls_short_items_repeats_and_further_columns(spark):
+    items = [(None, "ein kurzer Satz"), (3, None), (4, "..."), (11, "solo"), (2, "Überall é über"), (2, "other words " * 9), (7, "a b c d e f g h i"), (7, "a b c d e f g h i")]
+    texts = [None, "", "?!", "solo", "Solo: ein kurzer-satz", "Überall É über Überall é ÜBER", "a b c d e f g h i j", "words other " * 12, "a b c d e f g h", "ein kurzer"]
+    docs = documents(spark, texts).selectExpr("*", "1 AS words", "2 AS window", "'z' AS text_md5", "3 AS start", "4 AS met")
+    docs = docs.union(docs.where("doc_id > 3")).union(docs.selectExpr("CAST(NULL AS BIGINT)", "* EXCEPT (doc_id)"))
+    check(spark, docs, items)
+    check(spark, docs, [])
+    assert contamination(docs.limit(0), spark.createDataFrame(items, ITEMS)).count() == 0
+
+
+def test_long_text_with_one_hit_and_a_common_passage(spark):
+    passage = " ".join(f"p{i % 11}q{i}" for i in range(40))
+    long = " ".join(f"v{i % 977}" for i in range(60000))
+    texts = [f"{long} {passage} {long}"] + [f"n{i} {passage}" for i in range(300)] + [passage] * 100
+    rows = contamination(documents(spark, texts), spark.createDataFrame([(1, passage), (2, passage + " tail")], ITEMS)).collect()
+    assert len(rows) == 401 and all(r["n_hit"] == 40 and r["n_items"] == 2 for r in rows)
+    hits = find_hits(documents(spark, texts), spark.createDataFrame([(1, passage)], ITEMS))
+    assert hits.count() == 302 * 31

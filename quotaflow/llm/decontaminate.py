@@ -98,7 +98,8 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
            .join(known, ["fingerprint", "length"], "left_semi")
            .groupBy("text_md5").agg(F.collect_set(F.struct("start", "stop", "length")).alias("met")))
     met = written(met, "decontaminate-met")
-    extended = texts.join(met, "text_md5").select("text_md5", "met", _words("text").alias("words")).select("text_md5", F.explode(_let(
+    # The hits grow with the contaminated documents: never broadcast, whatever their size.
+    extended = texts.join(met.hint("merge"), "text_md5").select("text_md5", "met", _words("text").alias("words")).select("text_md5", F.explode(_let(
         F.col("words"), lambda words: F.flatten(F.transform("met", lambda m: F.transform(
             F.sequence(m["start"], m["stop"] - 1),
             lambda i: F.struct(i.alias("start"), m["length"].alias("length"), F.array_join(F.slice(words, i + 1, m["length"]), " ").alias("window"))))))).alias("w"))

@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -194,17 +193,13 @@ _ARROW = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("number", pa.i
                     ("last", pa.string()), ("kinds", pa.string()), ("costs", pa.list_(pa.int64())), ("audits", _LIST), ("roles", _LIST), ("texts", _LIST)])
 
 
-def _whole(group: pd.DataFrame) -> pd.DataFrame:
-    """The cells of one conversation's segments combined; a row a segment with its way through the states,
-    the first one with the conversation's result."""
-    group = group.sort_values(["part", "number"])
-    level = [tuple(None if a is None else (int(c), a) for c, a in zip(costs, audits, strict=True))
-             for costs, audits in zip(group["costs"], group["audits"], strict=True)]
-    levels = [level]
-    while len(level) > 1:
-        level = [combined(*level[i:i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        levels.append(level)
-    (cost, audit), end = best_of(level[0])
+def way_through(cells: list[Cell]) -> tuple[tuple[int, str], list[int]]:
+    """The least (cost, audit) of neighbouring segments' cells, combined bottom-up, and the nonterminal of each."""
+    levels = [cells]
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        levels.append([combined(*level[i:i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)])
+    best, end = best_of(levels[-1][0])
     ways = [(0, end)]
     for below in reversed(levels[:-1]):
         halves = []
@@ -217,12 +212,34 @@ def _whole(group: pd.DataFrame) -> pd.DataFrame:
                     for r in range(STATES) if a[p * STATES + r] and b[r * STATES + q])[2]
             halves += [(p, r), (r, q)]
         ways = halves
-    edges = zip(group["last"], group["first"].iloc[1:], strict=False)
-    illegal = int(group["illegal"].sum()) + sum(a + b not in ("su", "ua", "au") for a, b in edges)
-    first = [True] + [False] * (len(group) - 1)
-    return pd.DataFrame({"conv": group["conv"], "part": group["part"], "number": group["number"], "way": [p * STATES + q for p, q in ways],
-                         "illegal": [illegal if f else None for f in first], "cost": [cost if f else None for f in first],
-                         "audit": [audit if f else None for f in first]})
+    return best, [p * STATES + q for p, q in ways]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments sorted by conversation: a row each with its nonterminal, the first one with the conversation's result."""
+    schema = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("number", pa.int64()), ("way", pa.int32()),
+                        ("illegal", pa.int64()), ("cost", pa.int64()), ("audit", pa.string())])
+    held: list[dict] = []
+
+    def ended() -> list[dict]:
+        (cost, audit), ways = way_through([r["cell"] for r in held])
+        illegal = sum(r["illegal"] for r in held) + sum(a["last"] + b["first"] not in ("su", "ua", "au") for a, b in zip(held, held[1:], strict=False))
+        out = [{"conv": r["conv"], "part": r["part"], "number": r["number"], "way": w} for r, w in zip(held, ways, strict=True)]
+        out[0] |= {"illegal": illegal, "cost": cost, "audit": audit}
+        held.clear()
+        return out
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            out = []
+            for r in batch.slice(start, SLICE).to_pylist():
+                if held and held[0]["conv"] != r["conv"]:
+                    out += ended()
+                r["cell"] = tuple(None if a is None else (c, a) for c, a in zip(r.pop("costs"), r.pop("audits"), strict=True))
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+    if held:
+        yield pa.RecordBatch.from_pylist(ended(), schema=schema)
 
 
 def repaired_turns(audit: str, state: int, roles: list, texts: list) -> Iterator[tuple[str, str]]:
@@ -278,8 +295,9 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = ["conv", F.col("turn").asc_nulls_first(), "role", "text"]
     segments = written(rows.select("conv", "turn", "role", "text", "copies", "kind").repartitionByRange(*order).sortWithinPartitions(*order)
                        .mapInArrow(tidy(_segments), SEGMENT), "repair-segments")
-    whole = written(segments.select("conv", "part", "number", "illegal", "first", "last", "costs", "audits").groupBy("conv").applyInPandas(
-        _whole, "conv string, part int, number long, way int, illegal long, cost long, audit string"), "repair-ways")
+    whole = written(segments.select("conv", "part", "number", "illegal", "first", "last", "costs", "audits")
+                    .repartition("conv").sortWithinPartitions("conv", "part", "number").mapInArrow(
+        tidy(_whole), "conv string, part int, number long, way int, illegal long, cost long, audit string"), "repair-ways")
     taken = (segments.join(whole.select("conv", "part", "number", "way"), ["conv", "part", "number"])
              .select("conv", "part", "number", "way", F.get("audits", F.col("way")).alias("audit"), "roles", "texts"))
     lines = taken.mapInArrow(tidy(_pieces), "conv string, part int, number long, at long, piece string")

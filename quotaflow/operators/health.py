@@ -12,6 +12,7 @@ from quotaflow.functions import (
     guarded_ratio,
     round_half_even,
 )
+from quotaflow.functions.states import KNOWN, RECORDS, REST, ROWS, are_states, mean, records, total
 
 
 def churn_impact(df: DataFrame) -> DataFrame:
@@ -20,10 +21,10 @@ def churn_impact(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("region")
         .agg(
-            F.sum("monthly_recurring_revenue_eur").alias("gross_revenue"),
-            F.sum("expansion_revenue_eur").alias("expansion"),
-            F.sum("renewal_revenue_eur").alias("renewal"),
-            F.sum("churned_revenue_eur").alias("churn"),
+            total(df, "monthly_recurring_revenue_eur").alias("gross_revenue"),
+            total(df, "expansion_revenue_eur").alias("expansion"),
+            total(df, "renewal_revenue_eur").alias("renewal"),
+            total(df, "churned_revenue_eur").alias("churn"),
         )
         .withColumn("gross_total", F.col("gross_revenue") + F.col("expansion") + F.col("renewal"))
         .withColumn("net_revenue", F.col("gross_total") - F.col("churn"))
@@ -42,25 +43,25 @@ def forecast_confidence(df: DataFrame) -> DataFrame:
     before the one aggregation, so no join is needed.
     """
     spark = df.sparkSession
-    bucketed = df.select(
-        confidence_bucket_id("forecast_confidence_score").alias("bucket_id"),
-        F.col("record_id").cast("string").alias("record_id"),
-        F.col("forecasted_revenue_next_quarter").cast("double").alias("forecast"),
-        F.col("total_revenue_eur").cast("double").alias("actual"),
-        F.col("forecast_confidence_score").cast("double").alias("confidence"),
-    )
-    placeholders = spark.range(len(CONFIDENCE_LABELS), numPartitions=1).select(
-        F.col("id").cast("int").alias("bucket_id"), F.lit(None).cast("string").alias("record_id"),
-        *[F.lit(None).cast("double").alias(c) for c in ("forecast", "actual", "confidence")])
+    amounts = ("forecasted_revenue_next_quarter", "total_revenue_eur", "forecast_confidence_score")
+    if are_states(df):
+        bucketed = df.select("bucket_id", ROWS, RECORDS, *[c + x for c in amounts for x in ("", REST, KNOWN)])
+    else:
+        bucketed = df.select(
+            confidence_bucket_id("forecast_confidence_score").alias("bucket_id"),
+            F.col("record_id").cast("string").alias("record_id"), *[F.col(c).cast("double").alias(c) for c in amounts])
+    placeholders = spark.range(len(CONFIDENCE_LABELS), numPartitions=1).select(F.col("id").cast("int").alias("bucket_id"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in bucketed.schema.fields if f.name != "bucket_id"])
+    bucketed = bucketed.unionByName(placeholders)
+    forecast, actual, confidence = amounts
     zero = F.lit(0.0)
     return (
-        bucketed.unionByName(placeholders)
-        .groupBy("bucket_id")
+        bucketed.groupBy("bucket_id")
         .agg(
-            F.count("record_id").alias("records"),
-            F.coalesce(F.sum("forecast"), zero).alias("forecast_revenue"),
-            F.coalesce(F.sum("actual"), zero).alias("actual_revenue"),
-            F.avg("confidence").alias("avg_confidence"),
+            F.coalesce(records(bucketed), F.lit(0)).alias("records"),
+            F.coalesce(total(bucketed, forecast), zero).alias("forecast_revenue"),
+            F.coalesce(total(bucketed, actual), zero).alias("actual_revenue"),
+            mean(bucketed, confidence).alias("avg_confidence"),
         )
         .withColumn("accuracy_ratio", F.when(
             F.col("forecast_revenue") > 0,

@@ -1,7 +1,9 @@
 """Headline metrics and single-key rollups.
 
 Every rollup is one ``groupBy().agg()``: Spark aggregates partially before the
-shuffle, so a hot key costs one row per map task, not one row per record.
+shuffle, so a hot key costs one row per map task, not one row per record. Amounts
+are added exactly (``functions.states``), and all but the account views and exact
+distinct counts take the facts' states as well as the facts.
 Null keys form their own group, as the source application does.
 """
 
@@ -11,26 +13,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaflow.functions import kpi_band, round_half_even
+from quotaflow.functions.states import are_states, mean, records, rows, total
 
 
-def _sum(c: str, alias: str):
-    return F.sum(c).alias(alias)
+def _sum(df: DataFrame, c: str, alias: str):
+    return total(df, c).alias(alias)
 
 
-def _avg(c: str, alias: str):
-    return F.avg(c).alias(alias)
+def _avg(df: DataFrame, c: str, alias: str):
+    return mean(df, c).alias(alias)
 
 
 def top_metrics(df: DataFrame) -> DataFrame:
     """A1: one row of headline KPIs; an empty input gives all 0.0."""
     zero = F.lit(0.0)
     return df.agg(
-        F.coalesce(F.sum("total_revenue_eur"), zero).alias("total_revenue"),
-        F.coalesce(F.sum("forecasted_revenue_next_quarter"), zero).alias("forecasted_revenue"),
-        F.coalesce(F.avg("quota_attainment_pct"), zero).alias("avg_quota_attainment"),
-        F.coalesce(F.sum("churned_revenue_eur"), zero).alias("churned_revenue"),
-        F.coalesce(F.sum("pipeline_value_eur"), zero).alias("pipeline_value"),
-        F.coalesce(F.avg("forecast_confidence_score"), zero).alias("avg_confidence"),
+        F.coalesce(total(df, "total_revenue_eur"), zero).alias("total_revenue"),
+        F.coalesce(total(df, "forecasted_revenue_next_quarter"), zero).alias("forecasted_revenue"),
+        F.coalesce(mean(df, "quota_attainment_pct"), zero).alias("avg_quota_attainment"),
+        F.coalesce(total(df, "churned_revenue_eur"), zero).alias("churned_revenue"),
+        F.coalesce(total(df, "pipeline_value_eur"), zero).alias("pipeline_value"),
+        F.coalesce(mean(df, "forecast_confidence_score"), zero).alias("avg_confidence"),
     )
 
 
@@ -48,24 +51,29 @@ def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     distinct counts use HyperLogLog (bounded memory at any scale).
     """
     distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
-    expected = (F.col("monthly_recurring_revenue_eur") + F.col("expansion_revenue_eur")
-                + F.col("renewal_revenue_eur") - F.col("churned_revenue_eur"))
     # Reduced to one row a combination first: three distinct counts would copy every fact row.
-    combined = df.groupBy("region", "product_line", "sales_team").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.abs(F.col("total_revenue_eur") - expected)).alias("diff"),
-        F.count_if(F.col("total_revenue_eur") < 0).alias("negative"),
-        F.count_if(F.col("sales_target_eur") <= 0).alias("untargeted"),
-    )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    keys = ("region", "product_line", "sales_team")
+    if are_states(df):
+        combined = df.groupBy(*keys).agg(rows(df).alias("n"), F.max("revenue_diff_eur").alias("diff"),
+                                         F.sum("negative_revenue_rows").alias("negative"), F.sum("missing_targets").alias("untargeted"))
+    else:
+        expected = (F.col("monthly_recurring_revenue_eur") + F.col("expansion_revenue_eur")
+                    + F.col("renewal_revenue_eur") - F.col("churned_revenue_eur"))
+        combined = df.groupBy(*keys).agg(
+            rows(df).alias("n"),
+            F.max(F.abs(F.col("total_revenue_eur") - expected)).alias("diff"),
+            F.count_if(F.col("total_revenue_eur") < 0).alias("negative"),
+            F.count_if(F.col("sales_target_eur") <= 0).alias("untargeted"),
+        )
+    added = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return combined.agg(
-        total("n").alias("rows"),
+        added("n").alias("rows"),
         distinct("region").alias("regions"),
         distinct("product_line").alias("products"),
         distinct("sales_team").alias("teams"),
         F.max("diff").alias("max_revenue_diff_eur"),
-        total("negative").alias("negative_revenue_rows"),
-        total("untargeted").alias("missing_targets"),
+        added("negative").alias("negative_revenue_rows"),
+        added("untargeted").alias("missing_targets"),
     )
 
 
@@ -76,17 +84,17 @@ def aggregate_by(df: DataFrame, group_col: str) -> DataFrame:
     return (
         df.groupBy(group_col)
         .agg(
-            _sum("total_revenue_eur", "total_revenue_eur"),
-            _sum("monthly_recurring_revenue_eur", "mrr_eur"),
-            _sum("expansion_revenue_eur", "expansion_eur"),
-            _sum("renewal_revenue_eur", "renewal_eur"),
-            _sum("churned_revenue_eur", "churn_eur"),
-            _sum("pipeline_value_eur", "pipeline_eur"),
-            _sum("closed_won_value_eur", "closed_won_eur"),
-            _sum("forecasted_revenue_next_quarter", "forecast_eur"),
-            _avg("quota_attainment_pct", "avg_quota_pct"),
-            _avg("forecast_confidence_score", "avg_confidence"),
-            F.count("record_id").alias("records"),
+            _sum(df, "total_revenue_eur", "total_revenue_eur"),
+            _sum(df, "monthly_recurring_revenue_eur", "mrr_eur"),
+            _sum(df, "expansion_revenue_eur", "expansion_eur"),
+            _sum(df, "renewal_revenue_eur", "renewal_eur"),
+            _sum(df, "churned_revenue_eur", "churn_eur"),
+            _sum(df, "pipeline_value_eur", "pipeline_eur"),
+            _sum(df, "closed_won_value_eur", "closed_won_eur"),
+            _sum(df, "forecasted_revenue_next_quarter", "forecast_eur"),
+            _avg(df, "quota_attainment_pct", "avg_quota_pct"),
+            _avg(df, "forecast_confidence_score", "avg_confidence"),
+            records(df).alias("records"),
         )
         .orderBy(F.desc("total_revenue_eur"), group_col)
     )
@@ -97,10 +105,10 @@ def revenue_by_region(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("region")
         .agg(
-            _sum("total_revenue_eur", "total_revenue"),
-            _sum("forecasted_revenue_next_quarter", "forecast_revenue"),
-            _sum("churned_revenue_eur", "churn"),
-            _sum("pipeline_value_eur", "pipeline"),
+            _sum(df, "total_revenue_eur", "total_revenue"),
+            _sum(df, "forecasted_revenue_next_quarter", "forecast_revenue"),
+            _sum(df, "churned_revenue_eur", "churn"),
+            _sum(df, "pipeline_value_eur", "pipeline"),
         )
         .orderBy(F.desc("total_revenue"), "region")
     )
@@ -110,17 +118,17 @@ def revenue_by_product(df: DataFrame) -> DataFrame:
     """A5: monthly revenue per product line, month asc."""
     return (
         df.groupBy("month_label", "product_line")
-        .agg(_sum("total_revenue_eur", "total_revenue"))
+        .agg(_sum(df, "total_revenue_eur", "total_revenue"))
         .orderBy("month_label", "product_line")
     )
 
 
 def _pipeline_by_stage(df: DataFrame) -> DataFrame:
     return df.groupBy("sales_stage").agg(
-        _sum("pipeline_value_eur", "pipeline_value"),
-        F.count("record_id").alias("opportunities"),
-        _sum("closed_won_value_eur", "closed_won"),
-        _sum("closed_lost_value_eur", "closed_lost"),
+        _sum(df, "pipeline_value_eur", "pipeline_value"),
+        records(df).alias("opportunities"),
+        _sum(df, "closed_won_value_eur", "closed_won"),
+        _sum(df, "closed_lost_value_eur", "closed_lost"),
     )
 
 
@@ -136,9 +144,9 @@ def pipeline_share(df: DataFrame) -> DataFrame:
     joined by broadcast: its size is one row by construction.
     """
     stages = _pipeline_by_stage(df).select("sales_stage", "pipeline_value")
-    total = stages.agg(F.sum("pipeline_value").alias("_total"))
+    whole = stages.agg(total(stages, "pipeline_value").alias("_total"))
     return (
-        stages.crossJoin(F.broadcast(total))
+        stages.crossJoin(F.broadcast(whole))
         .withColumn("share_pct", F.try_divide(F.col("pipeline_value"), F.col("_total")) * F.lit(100.0))
         .drop("_total")
         .orderBy(F.desc("share_pct"), "sales_stage")
@@ -146,7 +154,7 @@ def pipeline_share(df: DataFrame) -> DataFrame:
 
 
 def _quota_by_team(df: DataFrame) -> DataFrame:
-    return df.groupBy("region", "sales_team").agg(_avg("quota_attainment_pct", "avg_quota"))
+    return df.groupBy("region", "sales_team").agg(_avg(df, "quota_attainment_pct", "avg_quota"))
 
 
 def quota_matrix(df: DataFrame) -> DataFrame:
@@ -179,27 +187,37 @@ def high_revenue_accounts(df: DataFrame, top_n: int = 15) -> DataFrame:
     return (
         df.groupBy(*keys)
         .agg(
-            _sum("total_revenue_eur", "total_revenue"),
-            _sum("monthly_recurring_revenue_eur", "mrr"),
-            _sum("expansion_revenue_eur", "expansion"),
-            _sum("renewal_revenue_eur", "renewal"),
-            _avg("renewal_probability_pct", "avg_renewal_prob"),
+            _sum(df, "total_revenue_eur", "total_revenue"),
+            _sum(df, "monthly_recurring_revenue_eur", "mrr"),
+            _sum(df, "expansion_revenue_eur", "expansion"),
+            _sum(df, "renewal_revenue_eur", "renewal"),
+            _avg(df, "renewal_probability_pct", "avg_renewal_prob"),
         )
         .orderBy(F.desc("total_revenue"), *keys)
         .limit(top_n)
     )
 
 
-def underperforming_teams(df: DataFrame, threshold_pct: float = 50.0) -> DataFrame:
+def underperforming_teams(df: DataFrame, threshold_pct: float = 50.0, sketches: DataFrame | None = None) -> DataFrame:
     """Teams whose average quota is strictly below ``threshold_pct``,
-    with distinct reps, records and the gap to 100 %, avg quota asc."""
-    grouped = df.groupBy("sales_team", "region").agg(
-        _avg("quota_attainment_pct", "avg_quota"),
-        _sum("total_revenue_eur", "total_revenue"),
-        _sum("forecasted_revenue_next_quarter", "forecast_revenue"),
-        _avg("forecast_confidence_score", "avg_confidence"),
-        F.countDistinct("account_executive").alias("reps"),
-        F.count("record_id").alias("records"),
+    with distinct reps, records and the gap to 100 %, avg quota asc.
+
+    With ``sketches`` (region, sales_team, reps_sketch) ``df`` may be states; reps are then
+    estimated, with the relative standard error ``sources.store.SKETCH_ERROR``."""
+    keys = ["sales_team", "region"]
+    reps = F.countDistinct("account_executive")
+    if sketches is not None:
+        counted = sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("reps_sketch")).alias("estimate"))
+        df = df.join(counted.select(*[F.col(k).alias(f"{k}_of") for k in keys], "estimate"),
+                     F.col("sales_team").eqNullSafe(F.col("sales_team_of")) & F.col("region").eqNullSafe(F.col("region_of")), "left")
+        reps = F.max("estimate")
+    grouped = df.groupBy(*keys).agg(
+        _avg(df, "quota_attainment_pct", "avg_quota"),
+        _sum(df, "total_revenue_eur", "total_revenue"),
+        _sum(df, "forecasted_revenue_next_quarter", "forecast_revenue"),
+        _avg(df, "forecast_confidence_score", "avg_confidence"),
+        reps.alias("reps"),
+        records(df).alias("records"),
     )
     return (
         grouped.withColumn("gap_to_quota_pct", round_half_even(F.lit(100.0) - F.col("avg_quota"), 2))

@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotaflow.functions.states import mean, records, total
 from quotaflow.operators import (
     aggregate_by,
     churn_impact,
@@ -36,19 +37,19 @@ from quotaflow.operators import (
 )
 
 
-def _a3_aggregates():
+def _a3_aggregates(df: DataFrame):
     return [
-        F.sum("total_revenue_eur").alias("total_revenue_eur"),
-        F.sum("monthly_recurring_revenue_eur").alias("mrr_eur"),
-        F.sum("expansion_revenue_eur").alias("expansion_eur"),
-        F.sum("renewal_revenue_eur").alias("renewal_eur"),
-        F.sum("churned_revenue_eur").alias("churn_eur"),
-        F.sum("pipeline_value_eur").alias("pipeline_eur"),
-        F.sum("closed_won_value_eur").alias("closed_won_eur"),
-        F.sum("forecasted_revenue_next_quarter").alias("forecast_eur"),
-        F.avg("quota_attainment_pct").alias("avg_quota_pct"),
-        F.avg("forecast_confidence_score").alias("avg_confidence"),
-        F.count("record_id").alias("records"),
+        total(df, "total_revenue_eur").alias("total_revenue_eur"),
+        total(df, "monthly_recurring_revenue_eur").alias("mrr_eur"),
+        total(df, "expansion_revenue_eur").alias("expansion_eur"),
+        total(df, "renewal_revenue_eur").alias("renewal_eur"),
+        total(df, "churned_revenue_eur").alias("churn_eur"),
+        total(df, "pipeline_value_eur").alias("pipeline_eur"),
+        total(df, "closed_won_value_eur").alias("closed_won_eur"),
+        total(df, "forecasted_revenue_next_quarter").alias("forecast_eur"),
+        mean(df, "quota_attainment_pct").alias("avg_quota_pct"),
+        mean(df, "forecast_confidence_score").alias("avg_confidence"),
+        records(df).alias("records"),
     ]
 
 
@@ -67,7 +68,7 @@ def rollup_by_dimensions(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     n = len(dims)
     full = (1 << n) - 1
     grouped = df.groupingSets([[d] for d in dims], *dims).agg(
-        *_a3_aggregates(), F.grouping_id(*dims).alias("_gid"))
+        *_a3_aggregates(df), F.grouping_id(*dims).alias("_gid"))
     # In grouping_id the first column is the highest bit; a set [d_i] leaves
     # only d_i's bit clear.
     masks = {d: full ^ (1 << (n - 1 - i)) for i, d in enumerate(dims)}

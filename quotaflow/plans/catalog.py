@@ -10,7 +10,6 @@ over the same Parquet tables.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +48,12 @@ from quotaflow.sources import (
     dataset_fingerprint,
     dirty_star_facts,
     load_revenue,
-    materialize_facts,
     star_facts,
     with_standin_predictions,
 )
+from quotaflow.schema import FILTER_DIMENSIONS
 from quotaflow.sources.star import clear_table_cache
+from quotaflow.sources.store import Folder, Store, drop_store, open_store, sources_state
 
 # Parameters of the registered queries.
 SLICE_REGIONS = ["ASIA", "EUROPE"]
@@ -61,8 +61,6 @@ SLICE_PLANS = ["1-URGENT", "2-HIGH"]
 NO_SUCH_REGION = "__no_such_region__"
 TEAM_THRESHOLD_PCT = 101.5
 TOP_N = 15
-# The fact mapping's teams: three a region.
-TEAMS = [f"{r}-T{i}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST") for i in range(3)]
 STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"]
 
@@ -70,6 +68,8 @@ ROLLUP_DIMENSIONS = ["region", "product_line", "sales_team", "subscription_plan"
 # (application id, sf_dir, kind) -> DataFrame, shared by every query of a
 # session, as an application holding its facts DataFrame would.
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
+# (application id, sf_dir, kind) -> times of change of the table paths, store
+_STORES: dict[tuple[str, str, str], tuple[tuple, Store]] = {}
 
 
 def _plan(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
@@ -80,8 +80,9 @@ def _plan(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
 
 
 def reset_plans() -> None:
-    """Forget the shared plans and facts tables; tables that are still read stay on disk."""
+    """Forget the shared plans and opened stores; the tables stay on disk."""
     _PLANS.clear()
+    _STORES.clear()
     clear_table_cache()
 
 
@@ -91,65 +92,59 @@ def facts_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, "facts", lambda: prepare(star_facts(spark, sf_dir)))
 
 
-def source_state(spark: SparkSession, sf_dir: str) -> str:
-    """A digest of the source tables' files: names, sizes and times of change."""
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
-    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-    seen = []
-    for name in STAR_TABLES:
-        files = fs.listFiles(sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet"), True)
-        while files.hasNext():
-            f = files.next()
-            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
-
-
 def facts_folder(spark: SparkSession) -> str:
-    """Where this application keeps its facts tables, below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
+    """Where facts stores are kept: below the shared folder the session names in
+    ``spark.checkpoint.dir``, whatever application asks, else below the session's own one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/quotaflow-facts/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/quotaflow-facts"
+
+
+def _sources(sf_dir: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in STAR_TABLES]
+
+
+def store_root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{facts_folder(spark)}/{hashlib.sha1(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The facts store of the star tables (S6): opened if this state of the tables has one, whoever
+    wrote it, else written once.
+
+    The source files are listed when an application first asks, and again only when the time of change of
+    a table's own path has changed; changes further down a partitioned table are seen by the next application
+    or after ``reset_plans``. A session without a shared folder, or a failed write, is an error.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    changed = Folder(spark, sf_dir).changed_at(_sources(sf_dir))
+    if key not in _STORES or _STORES[key][0] != changed:
+        clear_table_cache()  # the files may have been replaced since they were listed
+        state = sources_state(spark, _sources(sf_dir))
+        _STORES[key] = changed, open_store(spark, store_root(spark, sf_dir), state, lambda: prepare(star_facts(spark, sf_dir)),
+                                           with_standin_predictions, ["quota_attainment_probability"])
+    return _STORES[key][1]
 
 
 def drop_facts_tables(spark: SparkSession) -> bool:
-    """Delete this application's facts tables from the checkpoint folder and
-    forget them (the next ``facts`` call writes a fresh one). Uses the
-    session's Hadoop file system, so it works on shared storage too. Returns
-    whether a folder was deleted."""
+    """Delete the stores that this application has opened and forget them (the next ``facts`` call writes
+    a new one). Returns whether anything was deleted."""
     app = spark.sparkContext.applicationId
-    for key in [k for k in _PLANS if k[0] == app and (k[2].startswith("table-") or k[2].startswith("standin-"))]:
-        _PLANS.pop(key, None)
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(facts_folder(spark))
-    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-    return bool(fs.exists(folder) and fs.delete(folder, True))
+    opened = [_STORES.pop(k)[1] for k in list(_STORES) if k[0] == app]
+    for key in [k for k in _PLANS if k[0] == app and k[2].startswith("standin-")]:
+        _PLANS.pop(key)
+    return any([drop_store(spark, s.root, s.manifest["state"]) for s in opened])
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned and enriched facts mapped from the whole star tables.
-
-    The mapping runs once per session and state of the source files and is written
-    as a Parquet table under the shared checkpoint folder (S6 at scale); every
-    view then scans that table with its columns pruned and filters pushed
-    down instead of re-running the 7-table join. Each write has a folder of
-    its own, which goes when the application ends; a session without a
-    checkpoint folder, or a failed write, is an error.
-    """
-    def write() -> DataFrame:
-        path = f"{facts_folder(spark)}/{uuid.uuid4().hex}"
-        table = materialize_facts(prepare(star_facts(spark, sf_dir)), path)
-        sc = spark.sparkContext
-        folder = sc._jvm.org.apache.hadoop.fs.Path(facts_folder(spark))
-        folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
-        return table
-
-    state = source_state(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, f"table-{state}")
-    if key not in _PLANS:
-        clear_table_cache()  # the files may have been replaced since they were listed
-    return _plan(spark, sf_dir, f"table-{state}", write)
+    """Cleaned and enriched facts mapped from the whole star tables: the store's clustered table."""
+    return store(spark, sf_dir).facts
+
+
+def states_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The facts added up by at least these dimensions: the store's smallest such table."""
+    return store(spark, sf_dir).states(*columns)
 
 
 def dirty_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +172,7 @@ _A1_RATIO = ("avg_quota_attainment", "avg_confidence")
 
 def _aggregate_by(column: str):
     def run(spark, d):
-        return rounded(aggregate_by(facts(spark, d), column), _A3_MONEY, _A3_RATIO)
+        return rounded(aggregate_by(states_of(spark, d, column), column), _A3_MONEY, _A3_RATIO)
     return run
 
 
@@ -186,11 +181,6 @@ def _predictions(spark, d):
     return _plan(spark, d, f"standin-{''.join(base.inputFiles()[:1])}", lambda: with_standin_predictions(base))
 
 
-def _exact_totals(spark, d):
-    """The facts with totals as decimals (they are whole cents): sums do not depend on their order."""
-    return facts(spark, d).withColumn("total_revenue_eur", F.col("total_revenue_eur").cast("decimal(28,2)"))
-
-
 def _empty_slice_flags(spark, d):
     """F3 on a slice without rows and on one with rows."""
     none = is_empty_slice(apply_filters(facts(spark, d), regions=[NO_SUCH_REGION]))
@@ -203,27 +193,27 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["clean_dirty"] = lambda s, d: clean(dirty_facts(s, d))
     q["enrich_facts"] = lambda s, d: facts(s, d)
     q["filter_slice"] = lambda s, d: apply_filters(facts(s, d), regions=SLICE_REGIONS, plans=SLICE_PLANS)
-    q["filter_options"] = lambda s, d: filter_options(facts(s, d))
+    q["filter_options"] = lambda s, d: filter_options(states_of(s, d, *FILTER_DIMENSIONS.values()))
     q["dataset_fingerprint"] = lambda s, d: rounded(dataset_fingerprint(facts(s, d)), ["total_revenue"])
-    q["top_metrics"] = lambda s, d: rounded(top_metrics(facts(s, d)), _A1_MONEY, _A1_RATIO)
+    q["top_metrics"] = lambda s, d: rounded(top_metrics(states_of(s, d)), _A1_MONEY, _A1_RATIO)
     q["top_metrics_empty"] = lambda s, d: rounded(
-        top_metrics(apply_filters(facts(s, d), regions=[NO_SUCH_REGION])), _A1_MONEY, _A1_RATIO)
-    q["kpi_status"] = lambda s, d: rounded(kpi_status(top_metrics(facts(s, d))), _A1_MONEY, _A1_RATIO)
-    q["quality_report"] = lambda s, d: rounded(quality_report(facts(s, d)), ratio=["max_revenue_diff_eur"])
+        top_metrics(apply_filters(states_of(s, d, "region"), regions=[NO_SUCH_REGION])), _A1_MONEY, _A1_RATIO)
+    q["kpi_status"] = lambda s, d: rounded(kpi_status(top_metrics(states_of(s, d))), _A1_MONEY, _A1_RATIO)
+    q["quality_report"] = lambda s, d: rounded(quality_report(states_of(s, d, *FILTER_DIMENSIONS.values())), ratio=["max_revenue_diff_eur"])
     q["aggregate_by_plan"] = _aggregate_by("subscription_plan")
     q["aggregate_by_region"] = _aggregate_by("region")
     q["aggregate_by_product"] = _aggregate_by("product_line")
     q["aggregate_by_team"] = _aggregate_by("sales_team")
     q["revenue_by_region"] = lambda s, d: rounded(
-        revenue_by_region(facts(s, d)), ["total_revenue", "forecast_revenue", "churn", "pipeline"])
-    q["revenue_by_product"] = lambda s, d: rounded(revenue_by_product(facts(s, d)), ["total_revenue"])
+        revenue_by_region(states_of(s, d, "region")), ["total_revenue", "forecast_revenue", "churn", "pipeline"])
+    q["revenue_by_product"] = lambda s, d: rounded(revenue_by_product(states_of(s, d, "month_label", "product_line")), ["total_revenue"])
     q["forecast_vs_actual"] = lambda s, d: rounded(
-        forecast_vs_actual(facts(s, d)), ["actual_revenue", "forecast_revenue", "variance"], ["variance_pct"])
+        forecast_vs_actual(states_of(s, d, "month_label")), ["actual_revenue", "forecast_revenue", "variance"], ["variance_pct"])
     q["pipeline_distribution"] = lambda s, d: rounded(
-        pipeline_distribution(facts(s, d)), ["pipeline_value", "closed_won", "closed_lost"])
-    q["pipeline_share"] = lambda s, d: rounded(pipeline_share(facts(s, d)), ["pipeline_value"], ["share_pct"])
-    q["quota_matrix"] = lambda s, d: rounded(quota_matrix(facts(s, d)), ratio=["avg_quota"])
-    q["quota_heatmap"] = lambda s, d: quota_heatmap(facts(s, d), TEAMS)
+        pipeline_distribution(states_of(s, d, "sales_stage")), ["pipeline_value", "closed_won", "closed_lost"])
+    q["pipeline_share"] = lambda s, d: rounded(pipeline_share(states_of(s, d, "sales_stage")), ["pipeline_value"], ["share_pct"])
+    q["quota_matrix"] = lambda s, d: rounded(quota_matrix(states_of(s, d, "region", "sales_team")), ratio=["avg_quota"])
+    q["quota_heatmap"] = lambda s, d: quota_heatmap(states_of(s, d, "region", "sales_team"))
     q["high_revenue_accounts"] = lambda s, d: rounded(
         high_revenue_accounts(facts(s, d), TOP_N), ["total_revenue", "mrr", "expansion", "renewal"],
         ["avg_renewal_prob"])
@@ -233,20 +223,20 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["underperforming_teams"] = lambda s, d: rounded(
         underperforming_teams(facts(s, d), TEAM_THRESHOLD_PCT), ["total_revenue", "forecast_revenue"],
         ["avg_quota", "avg_confidence"])
-    q["revenue_growth_trend"] = lambda s, d: rounded(revenue_growth_trend(_exact_totals(s, d)), ["total_revenue"])
+    q["revenue_growth_trend"] = lambda s, d: rounded(revenue_growth_trend(states_of(s, d, "month_label")), ["total_revenue"])
     q["revenue_growth_by_region"] = lambda s, d: rounded(
-        revenue_growth_trend(_exact_totals(s, d), by=["region"]), ["total_revenue"])
+        revenue_growth_trend(states_of(s, d, "month_label", "region"), by=["region"]), ["total_revenue"])
     q["churn_impact"] = lambda s, d: rounded(
-        churn_impact(facts(s, d)), ["gross_revenue", "expansion", "renewal", "churn", "gross_total", "net_revenue"])
+        churn_impact(states_of(s, d, "region")), ["gross_revenue", "expansion", "renewal", "churn", "gross_total", "net_revenue"])
     q["forecast_confidence"] = lambda s, d: rounded(
-        forecast_confidence(facts(s, d)), ["forecast_revenue", "actual_revenue"], ["avg_confidence"])
+        forecast_confidence(states_of(s, d, "bucket_id")), ["forecast_revenue", "actual_revenue"], ["avg_confidence"])
     q["forecast_confidence_gaps"] = lambda s, d: rounded(
         forecast_confidence(facts(s, d).filter(F.col("quota_attainment_pct") < 100)),
         ["forecast_revenue", "actual_revenue"], ["avg_confidence"])
     q["quota_trend"] = lambda s, d: rounded(
-        quota_trend(_predictions(s, d)), ratio=["actual_quota_avg", "predicted_quota_prob"])
+        quota_trend(states_of(s, d, "month_label")), ratio=["actual_quota_avg", "predicted_quota_prob"])
     q["quota_trend_series"] = lambda s, d: rounded(
-        quota_trend_series(quota_trend(_predictions(s, d))),
+        quota_trend_series(quota_trend(states_of(s, d, "month_label"))),
         ratio=["actual_quota_avg", "predicted_quota_prob", "actual_revenue", "forecast_revenue"])
     q["ml_risk_accounts"] = lambda s, d: rounded(
         ml_risk_accounts(_predictions(s, d), TOP_N), ["mrr", "forecast", "predicted", "churn"],
@@ -258,7 +248,7 @@ def _build_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["empty_slice_flags"] = _empty_slice_flags
     from quotaflow.plans.bundle import rollup_by_dimensions
     q["aggregate_by_dimensions"] = lambda s, d: rounded(
-        rollup_by_dimensions(facts(s, d), ROLLUP_DIMENSIONS), _A3_MONEY, _A3_RATIO)
+        rollup_by_dimensions(states_of(s, d, *ROLLUP_DIMENSIONS), ROLLUP_DIMENSIONS), _A3_MONEY, _A3_RATIO)
     return q
 
 
@@ -547,9 +537,11 @@ FROM st ORDER BY share_pct DESC, sales_stage
 SELECT region, sales_team, {r8("avg(quota_attainment_pct)")} AS avg_quota
 FROM enriched GROUP BY region, sales_team ORDER BY region, sales_team
 """
+    # The query finds its teams in the facts; SQL must name them: the fact mapping makes three a region.
+    teams = [f"{r}-T{i}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST") for i in range(3)]
     cells = ",\n  ".join(
         f"round_even(coalesce(avg(quota_attainment_pct) FILTER (WHERE sales_team = '{t}'), 0.0E0) * 10E0, 0) / 10E0 AS \"{t}\""
-        for t in TEAMS)
+        for t in teams)
     o["quota_heatmap"] = FACTS_CTE + f"""
 SELECT region, {cells}
 FROM enriched GROUP BY region ORDER BY region

@@ -631,6 +631,13 @@ u AS (SELECT label, slot, sum(n) OVER (PARTITION BY label ORDER BY slot) AS upto
 cut AS (SELECT label, min(slot) AS last FROM u WHERE upto >= total * 0.8E0 GROUP BY label)
 SELECT 'plain' AS split, label, slot < 8000 AS train, count(*) AS n FROM f GROUP BY ALL
 UNION ALL SELECT 'stratified', f.label, slot <= last, count(*) FROM f JOIN cut ON cut.label = f.label GROUP BY ALL
+"""
+    o["model_reuse"] = FACTS_CTE + f"""
+, f AS (SELECT count(*) AS rows, CAST(count(*) AS VARCHAR) || '-' || CAST(CAST(sum(CAST(total_revenue_eur AS DECIMAL(24,2))) AS DECIMAL(38,2)) AS VARCHAR) AS fingerprint,
+          count(*) FILTER (WHERE sales_stage = 'Proposal') AS proposals FROM enriched)
+SELECT CAST(step AS INTEGER) AS step, rows, fingerprint, rows AS predictions,
+  CASE WHEN step = 2 THEN proposals ELSE CAST(0 AS BIGINT) END AS edited, step IN (0, 2) AS refitted
+FROM f, (SELECT unnest([0, 1, 2, 3]) AS step)
 """
     o["predict_checks"] = FACTS_CTE + """
 SELECT count(*) AS rows, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS disagreeing FROM enriched

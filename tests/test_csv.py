@@ -66,3 +66,77 @@ def test_known_results_of_a_small_file(spark, tmp_path):
     assert top_metrics(emea).first()["avg_quota_attainment"] == 100.0
     churn = churn_impact(emea).first()
     assert churn["churn"] == 100.0 and churn["gross_revenue"] == pytest.approx(1500.1)
+
+
+def test_folders_with_blanks_percent_signs_and_several_layouts(spark, tmp_path):
+    folder = tmp_path / "sales 2025 50%25 é"
+    folder.mkdir()
+    write(folder / "a b.csv", REQUIRED_COLUMNS, [{"record_id": "A", "renewal_revenue_eur": "1"}])
+    write(folder / "c%20d.csv", swapped(), [{"record_id": "B", "renewal_revenue_eur": "2"}])
+    write(folder / "e.csv", [*REQUIRED_COLUMNS, "note"], [{"record_id": "C", "renewal_revenue_eur": "3", "note": 'x, "y"'}])
+    write(folder / "f.csv", REQUIRED_COLUMNS, [{"record_id": "D", "renewal_revenue_eur": "4"}])
+    (folder / "empty.csv").write_text("")
+    df = load_revenue(spark, str(folder), fmt="csv")
+    assert sorted((r["record_id"], r["renewal_revenue_eur"], r["note"]) for r in df.collect()) == [
+        ("A", 1.0, None), ("B", 2.0, None), ("C", 3.0, 'x, "y"'), ("D", 4.0, None)]
+
+
+def test_only_heads_are_read_for_the_headers(spark, tmp_path):
+    from quotaflow.sources.revenue import file_heads
+
+    (tmp_path / "in").mkdir()
+    line = "some,text,of,a,row," * 40 + "\n"
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.csv").write_text(f"﻿a,b{i}\n" + line * 100_000)
+    bytes_read = lambda: spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file").getLong("bytesRead")
+    before = bytes_read()
+    heads = {r["file"].rsplit("/", 1)[1]: r["header"] for r in file_heads(spark, str(tmp_path / "in")).collect()}
+    assert heads == {f"{i}.csv": f"a,b{i}" for i in range(3)}
+    assert bytes_read() - before < 3 * len(line) * 100_000 / 2  # a few megabytes a file were under way
+
+
+def test_a_name_that_occurs_twice_in_a_header(spark, tmp_path):
+    from quotaflow.sources import SchemaError, read_revenue_csv
+
+    (tmp_path / "d.csv").write_text("a,b,a\n1,2,3\n")
+    with pytest.raises(SchemaError, match="more than once: a"):
+        read_revenue_csv(spark, str(tmp_path / "d.csv"))
+
+
+RAGGED = {"one.csv": 'a,b,c\n1,2,3\n1,2,9,8\n3\n"x,y",,"q""r,"\n,,\n', "two.csv": "c,a\n30,10\n31\n32,12,99\n33,\n"}
+
+
+def ragged(spark, tmp_path, mode, files):
+    from quotaflow.sources import read_revenue_csv
+
+    for f in files:
+        (tmp_path / f).write_text(RAGGED[f])
+    return sorted(map(tuple, read_revenue_csv(spark, str(tmp_path), malformed=mode).select("a", "c").collect()), key=str)
+
+
+@pytest.mark.parametrize("files", [["one.csv"], ["one.csv", "two.csv"], ["two.csv"]])
+def test_ragged_rows(spark, tmp_path, files):
+    from quotaflow.sources import malformed_rows
+
+    whole = {"one.csv": [("1", "3"), ("x,y", 'q"r,'), (None, None)], "two.csv": [("10", "30"), (None, "33")]}
+    short = {"one.csv": [("3", None)], "two.csv": [(None, "31")]}
+    long = {"one.csv": [("1", "9")], "two.csv": [("12", "32")]}
+    every = lambda *parts: sorted([r for p in parts for f in files for r in p[f]], key=str)
+    assert ragged(spark, tmp_path, "drop", files) == every(whole)
+    assert ragged(spark, tmp_path, "keep", files) == every(whole, short, long)
+    found = malformed_rows(spark, str(tmp_path))
+    want = {"one.csv": [(4, 3), (1, 3)], "two.csv": [(1, 2), (3, 2)]}
+    assert sorted((r["fields"], r["expected"]) for r in found.collect()) == sorted(x for f in files for x in want[f])
+    assert {r["file"].rsplit("/", 1)[1] for r in found.collect()} == set(files)
+    for mode, match in (("pad", "4 fields instead of 3|3 fields instead of 2"), ("strict", "fields instead of")):
+        with pytest.raises(Exception, match=match):
+            ragged(spark, tmp_path, mode, files)
+
+
+def test_short_rows_are_padded_like_the_source_application(spark, tmp_path):
+    from quotaflow.sources import read_revenue_csv
+
+    (tmp_path / "s.csv").write_text("a,b,c\n1\n1,2,3\n\n")
+    assert sorted(map(tuple, read_revenue_csv(spark, str(tmp_path / "s.csv")).collect()), key=str) == [("1", "2", "3"), ("1", None, None)]
+    with pytest.raises(ValueError, match="malformed must be"):
+        read_revenue_csv(spark, str(tmp_path / "s.csv"), malformed="ignore")

@@ -197,3 +197,17 @@ def test_states_of_sources_and_dropped_states(spark, tmp_path):
     kept = small_store(spark, tmp_path / "st", "y")
     assert st.drop_store(spark, str(tmp_path / "st"), "x") and not st.drop_store(spark, str(tmp_path / "st"), "x")
     assert kept.facts.count() == 1 and st.drop_store(spark, str(tmp_path / "st"))
+
+
+def test_content_fingerprint_sees_every_edit_and_no_order(spark):
+    from quotaflow.sources import content_fingerprint, dataset_fingerprint
+
+    one = lambda df: content_fingerprint(df).first()["content"]
+    facts = catalog.facts(spark, SF_SMALL)
+    whole = one(facts)
+    assert one(facts.repartition(7).select(sorted(facts.columns))) == whole
+    swapped = facts.withColumn("customer_growth_score", F.when(F.col("record_id") == facts.first()["record_id"], -1.0).otherwise(F.col("customer_growth_score")))
+    assert dataset_fingerprint(swapped).first() == dataset_fingerprint(facts).first() and one(swapped) != whole
+    small = lambda rows: one(spark.createDataFrame(rows, "a string, b string"))
+    sets = [[("x", None)], [(None, "x")], [("x", "")], [("x", None)] * 2, [("x", None)] * 3, [], [("xy", "z")], [("x", "yz")]]
+    assert len({small(s) for s in sets}) == len(sets)

@@ -88,7 +88,7 @@ def _nearest(k: int, eps: float, seed: int):
                     floor = np.partition(low, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
                     for j in range(len(est)):
                         c = np.flatnonzero((est[j] + width >= floor[j]) & (est[j] > -np.inf))
-                        score = np.clip(own[c] @ q_own[i + j], -1.0, 1.0)
+                        score = np.clip((own[c] * q_own[i + j]).sum(axis=1), -1.0, 1.0)  # equal rows give equal sums, unlike a product of matrices
                         best = np.lexsort((ids[c], -score))[:k]
                         if len(best):
                             yield pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[c][best], "score": score[best],

@@ -49,3 +49,23 @@ def test_invalid_vectors_ties_and_few_candidates(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (7, 1, 0), (7, 2, 1), (7, 3, 2)]
     assert all(r["score"] == 1.0 for r in got)
     assert nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_equal_random_vectors_rank_by_id_inside_and_across_blocks(spark, monkeypatch):
+    from quotaflow.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(30):
+        v = rng.standard_normal(48).astype(np.float32).tolist()
+        ids = rng.permutation(np.arange(g * 50, g * 50 + 9)).tolist()
+        rows += [(int(i), v, 0) for i in ids]
+        for q in (g * 50, g * 50 + 4):
+            want[q] = [i for i in sorted(ids) if i != q][:5]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), list(map(float, v)), int(x)) for i, v, x in rows], VECTORS)
+    got = {}
+    for r in collected(nearest_neighbours(df, df.where("vec_id % 50 IN (0, 4)")), "query_id", "rank"):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want

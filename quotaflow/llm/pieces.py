@@ -33,7 +33,7 @@ from .common import table, tidy
 SPACE = "▁"
 #: A worker holds at most about twice this many segments: when it has come by so many, those
 #: that it held before and did not meet again are forgotten.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Segments of at most this many characters, all of them in the vocabulary, are merged together.
 SHORT = 32
 #: Rows of an Arrow batch are encoded in runs of about this many characters.
@@ -48,7 +48,8 @@ NEVER = 1 << 62
 
 
 class PieceModel(dict):
-    """Segment -> (ids as int32 bytes, decoded text), filled as segments come up."""
+    """Segment -> ids as int32 bytes, filled as segments come up. A segment decodes to itself with its space
+    marks as spaces; ``odd`` has the texts of those that do not."""
 
     def __init__(self, proto: bytes):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -67,12 +68,14 @@ class PieceModel(dict):
         self.unknown, self.last = sp.unk_id(), np.array([sp.eos_id()], np.int32).tobytes()
         self.split = re.compile(self._segments(), re.S)
         self.unchecked: list[str] = []
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
 
     def forget(self, everything: bool = False) -> None:
         """Segments not met since the last call go."""
         self.older = {} if everything else self.copy()
         self.clear()
+        self.odd = {s: t for s, t in self.odd.items() if s in self.older}
 
     def _segments(self) -> str:
         """A pattern whose matches never share a merge with their neighbours."""
@@ -104,8 +107,8 @@ class PieceModel(dict):
         """The vocabulary's lone characters."""
         return {p: i for p, i in self.ids.items() if len(p) == 1}
 
-    def merge_together(self, segs: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids, as int32 bytes, and decoded texts of segments whose characters are all in the vocabulary. Row k of the agenda has
+    def merge_together(self, segs: list[str]) -> Iterator[bytes]:
+        """Ids, as int32 bytes, of segments whose characters are all in the vocabulary. Row k of the agenda has
         the ranks of the pairs of segment k; each round merges every row's least, the first of
         equal ones. A column without a piece ends each row, so that no row meets the next."""
         key, made, place = self.pairs
@@ -141,10 +144,9 @@ class PieceModel(dict):
             made_of[i], agenda[i] = look(part[i], part[k])
             made_of[h], agenda[h] = look(part[h], part[i])
         left = part != none
-        ids, ends = part[left], np.cumsum(left.reshape(n, wide).sum(axis=1)).tolist()
-        raw, texts = ids.astype(np.int32).tobytes(), [self.plain[i] for i in ids.tolist()]
+        raw, ends = part[left].astype(np.int32).tobytes(), (4 * np.cumsum(left.reshape(n, wide).sum(axis=1))).tolist()
         for a, b in pairwise([0, *ends]):
-            yield raw[4 * a:4 * b], "".join(texts[a:b])
+            yield raw[a:b]
 
     def merge(self, seg: str) -> list[int]:
         """Ids of a segment, by the agenda of adjacent pairs."""
@@ -212,10 +214,12 @@ class PieceModel(dict):
             self.update(zip(some, self.merge_together(some), strict=True))
         for s in alone:
             ids = self.merge(s)
-            self[s] = array("i", ids).tobytes(), self.unmerge(ids)
+            self[s] = array("i", ids).tobytes()
+            if (text := self.unmerge(ids)) != s.replace(SPACE, " "):
+                self.odd[s] = text
         self.unchecked += new + alone
 
-    def __missing__(self, seg: str) -> tuple[bytes, str]:
+    def __missing__(self, seg: str) -> bytes:
         self.learn({seg})
         return self[seg]
 
@@ -227,7 +231,7 @@ class PieceModel(dict):
             texts = ["\n" + s if plain else s[1:].replace(SPACE, " ") for s in segs]
             known = self.library.encode(texts, num_threads=1)
             for s, theirs in zip(segs, known, strict=True):
-                raw = lead + self[s][0] if plain else self[s][0]
+                raw = lead + self[s] if plain else self[s]
                 # A lone space mark is the dummy prefix of an empty text, which the library leaves out.
                 if raw != array("i", theirs).tobytes() and s != SPACE:
                     raise ValueError(f"the library encodes {s!r} as {theirs}, not {array('i', raw).tolist()}")
@@ -236,24 +240,24 @@ class PieceModel(dict):
     def segments(self, text: str) -> list[str]:
         return self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def joined(self, segs: list[str]) -> tuple[bytes, str]:
-        if not segs:
-            return self.last, ""
-        ids, texts = zip(*[self[s] for s in segs], strict=True)
-        return b"".join(ids) + self.last, "".join(texts)[1:]
+    def joined(self, text: str, segs: list[str]) -> tuple[bytes, str]:
+        raw = b"".join([self[s] for s in segs]) + self.last
+        if self.odd and not self.odd.keys().isdisjoint(segs):
+            return raw, "".join([self.odd.get(s) or s.replace(SPACE, " ") for s in segs])[1:]
+        return raw, text.replace(SPACE, " ")
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """int32 ids (end id last) as bytes, and the text that they decode to."""
         segs = self.segments(text)
         self.learn(set(segs))
-        return self.joined(segs)
+        return self.joined(text, segs)
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """:meth:`encode` of every text, checked; new segments are learned together."""
         rows = [self.segments(t) for t in texts]
         self.learn(set().union(*rows))
         self.check()
-        done = [self.joined(segs) for segs in rows]
+        done = [self.joined(text, segs) for text, segs in zip(texts, rows, strict=True)]
         if len(self) > REMEMBERED:
             self.forget()
         return done

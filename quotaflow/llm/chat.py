@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import table
 
@@ -37,48 +38,58 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def prefix_target_examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, example (from 0), context, target, reply.
+    """conv_id, example (from 0), context, target, reply, trains, whole.
 
     ``context + target`` is the formatted example and ``target`` the reply's
     turn; the loss covers ``reply``, the escaped text inside ``target``.
-    Examples without a reply have an empty target and reply. Turns go by number
+    Examples without a reply have an empty target and reply; the last example of a
+    conversation is ``whole``: it holds all its turns. Turns go by number
     (null first), then role and text; repeated rows stay. A null text or role is
     empty; rows of a null conv_id form one conversation. Other columns are ignored.
+
+    A conversation's formatted turns are one string, of which each example is a prefix cut at
+    the place of its reply: a task holds a conversation once, whatever the number of
+    its examples, and its examples one after the other.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = (turns.select("conv_id", F.struct(
-                "turn", "role", "text", _turn(F.col("role"), F.col("text")).alias("formatted")).alias("t"))
-             .groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")))
-    indexed = whole.withColumn("replies", F.filter(
-        F.transform("t", lambda x, i: F.when(x["role"] == "assistant", i)), lambda i: i.isNotNull()))
-    last = F.size("t") - 1
-    cuts = F.when(F.array_contains("replies", last), F.col("replies")).otherwise(
-        F.concat("replies", F.array(F.size("t"))))
-    cut = indexed.select("conv_id", "t", F.posexplode(cuts).alias("example", "i"))
-    at = F.when(F.col("i") < F.size("t"), F.get("t", F.col("i")))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("formatted", _turn(F.col("role"), F.col("text")))
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    placed = turns.select(
+        "conv_id", "formatted", (F.col("role") == "assistant").alias("trains"), F.char_length("formatted").alias("size"),
+        F.char_length(escape(F.col("text"))).alias("reply_size"), F.row_number().over(order).alias("i"),
+        (F.sum(F.char_length("formatted")).over(order.rowsBetween(W.unboundedPreceding, -1))).alias("start"))
+    whole = placed.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "formatted"))), lambda x: x["formatted"]), "").alias("text"),
+        F.sort_array(F.collect_list(F.when(F.col("trains"), F.struct("i", F.coalesce("start", F.lit(0)).alias("start"), "size", "reply_size", "trains")))).alias("replies"),
+        F.count("*").alias("n"), F.sum("size").alias("chars"))
+    rest = F.struct(F.lit(0).alias("i"), F.col("chars").alias("start"), F.lit(0).alias("size"), F.lit(0).alias("reply_size"), F.lit(False).alias("trains"))
+    ends = F.coalesce(F.get("replies", F.size("replies") - 1)["i"] == F.col("n"), F.lit(False))
+    cuts = F.when(ends, F.col("replies")).otherwise(F.concat("replies", F.array(rest)))
+    cut = whole.select("conv_id", "text", "n", F.size(cuts).alias("examples"), F.posexplode(cuts).alias("example", "c"))
+    start, size, reply = (F.col("c")[x].cast("int") for x in ("start", "size", "reply_size"))
     return cut.select(
         "conv_id", F.col("example").cast("long").alias("example"),
-        F.array_join(F.transform(F.slice("t", 1, F.col("i")), lambda x: x["formatted"]), "").alias("context"),
-        F.coalesce(at["formatted"], F.lit("")).alias("target"),
-        F.coalesce(escape(at["text"]), F.lit("")).alias("reply"),
-        at.isNotNull().alias("trains"))
+        F.substring("text", F.lit(1), start).alias("context"), F.substring("text", start + 1, size).alias("target"),
+        F.substring("text", start + size - reply - len(END) + 1, reply).alias("reply"), F.col("c")["trains"].alias("trains"),
+        (F.col("example") == F.col("examples") - 1).alias("whole"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """One row a conversation, from the formatted examples alone: turns parsed
-    from the longest example, loss texts from every target, in order."""
+    from the longest example, loss texts from every target, in order. Only that example's text
+    goes into the grouping."""
     target_text = F.regexp_replace(F.split_part("target", F.lit(TEXT), F.lit(2)), r"<\|end\|>$", "")
     held = examples.select(
         "conv_id", "example", "trains", unescape(target_text).alias("loss"),
-        F.concat("context", "target").alias("whole"))
+        F.when(F.col("whole"), F.concat("context", "target")).alias("whole"),
+        (F.char_length("context") + F.char_length("target")).alias("chars"))
     per = held.groupBy("conv_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(
             F.when(F.col("trains"), F.struct("example", "loss")))), lambda x: x["loss"]), "").alias("loss"),
-        F.max_by("whole", "example").alias("whole"),
-        F.sum(F.char_length("whole")).cast("long").alias("formatted_chars"))
+        F.get(F.collect_list("whole"), F.lit(0)).alias("whole"),
+        F.sum("chars").cast("long").alias("formatted_chars"))
     parts = F.filter(F.split("whole", r"<\|end\|>"), lambda x: x != "")
 
     def plain(x: Column) -> Column:

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import subprocess
+import sys
+import textwrap
 
 from quotaflow.llm.chat import END, ORACLE_OP6, TEXT, op6_chat_formatting, prefix_target_examples, read_back, unescape
 from helpers import SMALL, TURNS, collected, oracle
@@ -49,3 +53,22 @@ def test_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " * 20) for i in range(400)]
     r = read_back(prefix_target_examples(spark.createDataFrame(rows, TURNS))).first()
     assert r["n_turns"] == 400 and r["loss_sha256"] == sha("".join(t for _, i, _, t in rows if i % 2))
+
+
+def test_five_thousand_turns_in_a_heap_of_one_gigabyte():
+    """Its examples have about 760 million characters together; a heap is fixed at start, so in a process of its own."""
+    script = textwrap.dedent("""
+        import hashlib
+        from quotaflow.llm.chat import prefix_target_examples, read_back
+        from quotaflow.session import local_session
+        spark = local_session(2, shuffle_partitions=2, extra={"spark.driver.memory": "1g"})
+        assert spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() < 1.1e9
+        texts = [f"turn {i:6d} ".ljust(100, "x") for i in range(5000)]
+        df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+        r = read_back(prefix_target_examples(df)).first()
+        assert r["n_turns"] == 5000 and r["formatted_chars"] > 7.5e8
+        assert r["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+    """)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,37 +49,52 @@ BOX = re.compile(
     r"replies|respond)(?=$|\s)", re.I)
 #: Whole classes or ids that name such a box for certain, also inside an article.
 SURE = re.compile(
-    r"(?:^|(?<=\s))(?:ads?|adsbygoogle|ad[_-]?(?:box|slot|unit|banner|container|wrapper)|advert|advertisement|advertising|sponsored|"
+    r"(?:^|(?<=\s))(?:ads?|adsbygoogle|ad[_-]?(?:box|slot|unit|banner|container|wrapper|inline|block|space|break)|(?:inline|banner|text)[_-]ads?|"
+    r"advert(?:s|isements?|ising)?(?:[_-][\w-]+)?|sponsored(?:[_-](?:content|posts?|links?|box))?|"
+    r"promos?(?:[_-](?:box|banner|block|bar|card|unit))?|notices?|(?:site|legal|privacy|subscription|paywall)[_-](?:notice|banner|message)|"
     r"(?:cookie|cookies|consent|gdpr)[_-](?:notice|banner|bar|box|popup|message)|newsletter|newsletter[_-](?:box|form|signup)|popup|modal|"
     r"sidebar(?:[_-][\w-]*)?|side-bar|(?:left|right|site|page|main)[_-]sidebar|widget[_-]area|(?:main|top|site)[_-]menu|navbar|navigation|"
     r"breadcrumbs?|pagination|pager|site[_-](?:nav|navigation|header|footer)|"
     r"social[_-](?:share|sharing|links|icons|buttons|media)|share[_-](?:buttons?|bar|box|links|icons)|sharedaddy|"
-    r"(?:related|recommended)[_-](?:posts?|articles?|stories|links)|comments|comment[_-]?list|comments[_-](?:area|section)|disqus(?:_thread)?|replies|respond)"
+    r"(?:related|recommended)[_-](?:posts?|articles?|stories|links)|comments|(?:user|reader|visitor)[_-]comments?|"
+    r"comments?[_-]?list|comments?[_-](?:area|section|thread|box|wrapper|container)|disqus(?:_thread)?|replies|respond)"
     r"(?=$|\s)", re.I)
 #: An article of this class is a reader's, not the page's.
 COMMENT = re.compile(r"(?:^|(?<=\s))(?:(?:user|reader)-)?comments?(?:-\d+|-body)?(?=$|\s)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Quotes count behind an equals sign only, as in ``<p title=it's>``.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+""")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: Elements that hold everything up to their end tag; a page may also forget that tag.
+OPTIONAL_END = {"noscript", "template", "svg", "annotation", "annotation-xml", "object", "select"}
+#: A subtree's hash follows from the sums of a polynomial over its blocks' hashes.
+PRIME, BASE = (1 << 61) - 1, 0x1D8F3A57C6B42E91
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of a name; no value: empty."""
+    found: dict[str, str] = {}
+    for name, value in ATTR.findall(text):
+        if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        found.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+    return found
 
 
 def _left_out(tag: str, attrs: str, in_root: bool) -> bool:
     if tag in NEVER or tag == "header" and not in_root:
         return True
-    if not attrs or tag in ("html", "body"):
+    if tag in ("html", "body") or not TELLING.search(attrs):
         return False
+    has = attributes(attrs)
+    names = [has[n] for n in ("class", "id") if n in has]
     if tag in ROOTS:
-        return any(name.lower() in ("class", "id") and COMMENT.search(value.strip("\"'")) for name, value in ATTR.findall(attrs))
-    for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and (SURE.search(value) or not in_root and BOX.search(value)):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+        return any(COMMENT.search(n) for n in names)
+    return ("hidden" in has or has.get("aria-hidden", "").lower() == "true" or has.get("role", "").strip().lower() in ROLES
+            or any(SURE.search(n) or not in_root and BOX.search(n) for n in names) or bool(NOT_SHOWN.search(has.get("style", ""))))
 
 
 def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[list[str], list[int]]:
@@ -86,13 +102,17 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
 
     If the page has an ``article`` or ``main`` element, the text is what stands in
     those; else in the whole page. ``br`` is white space. Open elements end with the page.
+    Time and memory grow with the page's length, however deep its elements are nested.
     """
     if not page:
         return [], []
     blocks: list[tuple[str, bool]] = []  # text, inside a root
-    gone: set[int] = set()  # blocks of templates; they still count for the hashes of what holds them
+    sums = [0]  # of the polynomial, before each block and behind the last
+    gone: list[tuple[int, int]] = []  # spans of blocks of templates; they still count for the hashes of what holds them
     words: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # tag, first block, inside a root before it
+    inside_of: Counter[str] = Counter()  # tags on the stack
+    endless: set[str] = set()  # tags without an end tag in the rest of the page
     hashes: set[int] = set()
     out = 0  # depth of the outermost element that is left out; 0: none
     root = found = False
@@ -101,6 +121,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
         if words:
             if text := " ".join(entities.unescape("".join(words)).split()):
                 blocks.append((text, root))
+                sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))) % PRIME)
             words.clear()
 
     def close(depth: int) -> None:
@@ -108,13 +129,17 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
         while len(stack) > depth:
             flush()
             tag, first, before = stack.pop()
+            inside_of[tag] -= 1
             if out > len(stack):
                 out = 0
             root = before
             if first < len(blocks) and not out and tag in (INSIDE if root else OUTSIDE):
-                h = xxhash.xxh64_intdigest("\n".join([tag, *(t for t, _ in blocks[first:])]).encode("utf-8", "surrogatepass")) - (1 << 63)
+                n = len(blocks) - first
+                h = xxhash.xxh64_intdigest(f"{tag} {n} {(sums[-1] - sums[first] * pow(BASE, n, PRIME)) % PRIME}") - (1 << 63)
                 if h in templates:
-                    gone.update(range(first, len(blocks)))
+                    while gone and gone[-1][0] >= first:  # of templates that it holds
+                        gone.pop()
+                    gone.append((first, len(blocks)))
                 else:
                     hashes.add(h)
 
@@ -145,19 +170,24 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            if tag == "p" or tag in BLOCK or any(s[0] == tag for s in stack):
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                else:
-                    if tag in BLOCK:
-                        flush()
+            if inside_of[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            after = page.find(">", stop.end()) if stop else -1
-            at = end if after < 0 else after + 1
+            if tag not in endless and not (tag == "svg" and m[3].endswith("/")):
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                after = page.find(">", stop.end()) if stop else -1
+                if after >= 0:
+                    at = after + 1
+                elif tag in OPTIONAL_END:
+                    endless.add(tag)
+                else:
+                    at = end
             if not out:
                 words.append(" ")
             continue
@@ -178,6 +208,7 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
             flush()
         if tag in BLOCK or skip:
             stack.append((tag, len(blocks), root))
+            inside_of[tag] += 1
             if skip:
                 flush()
                 out = len(stack)
@@ -185,7 +216,11 @@ def parse(page: str | None, templates: frozenset | set = frozenset()) -> tuple[l
                 root = found = True
     close(0)
     flush()
-    return [t for i, (t, inside) in enumerate(blocks) if (inside or not found) and i not in gone], sorted(hashes)
+    kept, at = [], 0
+    for first, last in [*gone, (len(blocks), len(blocks))]:
+        kept += [t for t, inside in blocks[at:first] if inside or not found]
+        at = last
+    return kept, sorted(hashes)
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,6 +264,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null or empty html gives the empty text. The host is the url's, in lower
     case; pages without one form a site of their own. Copies of a page, repeated
     rows or under other urls, count as one page of the site. Other columns are ignored.
+    Long and deeply nested pages are read whole in one pass each time; a page must
+    fit in a task, a site need not.
     """
     hosted = pages.select("page_id", "url", "html", F.xxhash64("html").alias("page"), F.coalesce(F.regexp_extract(
         F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")).alias("host"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -36,6 +37,49 @@ def test_classes_that_only_share_a_word_with_a_box_stay():
     assert text(f"<body><div class='header'>Site</div><div class='body'>{''.join(parts[1:])}{boxes}</div></body>") == want[5:]
 
 
+@pytest.mark.parametrize("attrs", ['title="a hidden gem"', 'data-note="the hidden truth"', 'hiddenish="1"', "title='class=ad'", "data-class=ad", "title=it's",
+                                   'class="comment-open"', 'data-role="menu"', 'title="display:none"', 'alt="1 > 0"', "style='display:block'"])
+def test_attributes_that_say_nothing(attrs):
+    for tag in ("div", "p", "section"):
+        assert text(f"<article><{tag} {attrs}>Don't go</{tag}><p>on</article>") == "Don't go\non"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'aria-hidden="true"', "role=navigation", "style='color:red; display : none'", 'class="notice"', 'class="wide promo"',
+                                   "class=ad-inline", 'class="advert-inline"', 'class="user-comments"', 'id="reader-comments"', 'class="comment-thread"', "title='x' class='a&#100;'"])
+def test_boxes_inside_an_article(attrs):
+    for tag in ("div", "section"):
+        assert text(f"<article><p>Text</p><{tag} {attrs}><p>Box</p></{tag}><p>on</article>") == "Text\non"
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    def seconds(n, shape):
+        page = shape(n)
+        start = time.process_time()
+        blocks, hashes = parse(page)
+        assert len(blocks) >= n and hashes
+        return time.process_time() - start
+
+    for shape in (lambda n: "<article>" + "<div>word " * n + "</div>" * n, lambda n: "<div>" * n + "<p>word</b></i></form>" * n, lambda n: "<svg>a<p>" * n):
+        seconds(1000, shape)
+        assert seconds(8000, shape) < 1  # 3.4 s with a hash of each element's whole text
+
+
+def test_nested_hashes_tell_subtrees_apart():
+    def hashes(page):
+        return set(parse(page)[1])
+
+    assert hashes("<div><p>a</p><p>b</p></div>") & hashes("<section><div><p>a</p><p>b</p></div>c</section>")
+    assert len(hashes("<div>a<ul><li>b</li></ul></div><div>b<ul><li>a</li></ul></div>")) == 6
+    assert not hashes("<div>a b</div>") & hashes("<div>a<br>b c</div>") and not hashes("<div>a</div>") & hashes("<ul>a</ul>")
+    whole, part = parse("<div>x<div>y</div></div>")[1], parse("<div>y</div>")[1]
+    assert text("<div>x<div>y</div></div><p>z", frozenset(whole)) == "z" and text("<div>x<div>y</div></div><p>z", frozenset(part)) == "x\nz"
+
+
+def test_elements_whose_end_is_missing():
+    assert text("<p>a<svg/>b<svg><path/></svg>c<p>d<object>e") == "a b c\nd e"
+    assert text("<p>a<script>b") == "a"
+
+
 def test_without_root_whole_body_counts():
     assert text("<p>a</p><div>b<div>c</div>d</div>") == "a\nb\nc\nd"
     assert text("plain  text &eacute;&#233;&nope;") == "plain text éé&nope;"

@@ -3,13 +3,16 @@
 The blended-spectrum presence kernel of two texts counts the distinct
 character n-grams (n = 1, 2, 3) that both hold, over the geometric mean of their
 numbers. A Nystroem map through landmark texts gives finite features, on which
-one-versus-rest kernel ridge regression is fitted. N-grams are hashed, so that a
-batch of texts is a 0/1 matrix and all its kernel values are one matrix product.
+one-versus-rest kernel ridge regression is fitted. An n-gram is a 63-bit number, no
+hash, so the kernel is exact: only n-grams of the landmarks can be shared with one, a
+batch of texts is a 0/1 matrix over these, and all its kernel values are one matrix
+product over the roots of the texts' own numbers of n-grams.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +24,12 @@ from pyspark.sql import Window as W
 
 from .common import table
 
-#: Hashed n-grams; landmark texts in all; texts learned from for each language (the bound of the sample).
-SLOTS, LANDMARKS, LEARN = 1 << 14, 160, 300
-#: Ridge penalty; words of the fragment that each learned text also gives; texts in a matrix product.
-PENALTY, FRAGMENT, BATCH = 1e-2, 8, 256
+#: Landmark texts in all; texts learned from for each language (the bound of the sample).
+LANDMARKS, LEARN = 160, 300
+#: Ridge penalty; words of the fragment that each learned text also gives.
+PENALTY, FRAGMENT = 1e-2, 8
+#: Cells of the 0/1 matrix of a product (texts x n-grams of the landmarks); characters packed at a time.
+CELLS, PACKED = 1 << 22, 1 << 20
 UNDETERMINED = "und"
 
 _GAP = re.compile(r"[\W\d_]+")
@@ -34,77 +39,99 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 4 == 2, F.lit(False))
 
 
-def presence(texts: list[str | None]) -> np.ndarray:
-    """0/1 rows of the hashed n-grams of each text; all 0 without a letter."""
-    out = np.zeros((len(texts), SLOTS), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        clean = _GAP.sub(" ", (text or "").lower())
-        if not any(map(str.isalpha, clean)):
-            continue
-        c = np.frombuffer(f" {clean.strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-        h = c * np.uint64(0x9E3779B97F4A7C15)
-        for n in range(1, 4):
-            row[((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)) >> np.uint64(50)] = 1
-            if n < 3:
-                h = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + c[n:]
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]]
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The distinct n-grams of a whole text, each as its three code points (the
+    missing ones 0) in 21 bits each; none without a letter."""
+    clean = _GAP.sub(" ", (text or "").lower())
+    if not any(map(str.isalpha, clean)):
+        return np.zeros(0, np.uint64)
+    points = np.frombuffer(f" {clean.strip()} ".encode("utf-32-le"), np.uint32)
+    packs = []
+    for i in range(0, len(points) - 2, PACKED):
+        c = points[i:i + PACKED + 2].astype(np.uint64)
+        packs.append(np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]))
+    three = packs[0] if len(packs) == 1 else np.unique(np.concatenate(packs))
+    # Shorter n-grams begin a longer one, but for the last two characters; the last is a blank, as is the first.
+    last = (int(points[-2]) << 42) | (int(points[-1]) << 21)
+    two = np.unique(np.append(_distinct(three >> np.uint64(21) << np.uint64(21)), np.uint64(last)))
+    return np.concatenate([_distinct(two >> np.uint64(42) << np.uint64(42)), two, three])
+
+
+def presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """0/1 rows: which n-grams of the (sorted) vocabulary each set holds."""
+    out = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for row, g in zip(out, sets, strict=True):
+        at = np.minimum(np.searchsorted(vocabulary, g), max(len(vocabulary) - 1, 0))
+        row[at[vocabulary[at] == g]] = 1
     return out
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.outer(a.sum(axis=1), b.sum(axis=1)))
-    return np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size > 0)
-
-
 @dataclass
 class LanguageModel:
     langs: list[str]
-    landmarks: np.ndarray  # 0/1 rows, as bytes
+    vocabulary: np.ndarray  # the landmarks' n-grams, sorted
+    landmarks: np.ndarray  # 0/1 rows over them, as bits
+    sizes: np.ndarray  # of the landmarks
     whiten: np.ndarray
     weights: np.ndarray
 
-    def features(self, rows: np.ndarray) -> np.ndarray:
-        f = kernel(rows, self.landmarks.astype(np.float32)) @ self.whiten
+    def kernel(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel of each text with each landmark, and the texts' numbers of n-grams."""
+        marks = np.unpackbits(self.landmarks, axis=1, count=len(self.vocabulary)).astype(np.float32).T
+        values, sizes = np.zeros((len(texts), len(self.sizes))), np.zeros(len(texts))
+        step = max(1, CELLS // max(1, len(self.vocabulary)))
+        for i in range(0, len(texts), step):
+            sets = [grams(t) for t in texts[i:i + step]]
+            sizes[i:i + step] = n = np.array([len(g) for g in sets], float)
+            values[i:i + step] = (presence(sets, self.vocabulary) @ marks) / np.sqrt(np.outer(np.maximum(n, 1), self.sizes))
+        return values, sizes
+
+    def features(self, values: np.ndarray) -> np.ndarray:
+        f = values @ self.whiten
         length = np.sqrt((f * f).sum(axis=1, keepdims=True))
         f = np.divide(f, length, out=np.zeros_like(f), where=length > 0)
         return np.hstack([f, np.ones((len(f), 1))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (the best regression output over the sum of the positive ones)."""
-        langs, scores = [], np.zeros(len(texts))
-        for i in range(0, len(texts), BATCH):
-            rows = presence(texts[i:i + BATCH])
-            known = rows.any(axis=1)
-            if not self.langs:
-                langs += [UNDETERMINED] * len(rows)
-                continue
-            out = np.maximum(self.features(rows) @ self.weights, 0)
-            best, total = out.argmax(axis=1), out.sum(axis=1)
-            share = np.divide(out.max(axis=1), total, out=np.zeros(len(rows)), where=total > 0)
-            langs += [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-            scores[i:i + BATCH] = np.where(known, share, 0.0)
-        return langs, scores
+        """Language of the greatest regression output (ties: the first in code-point order)
+        and score (that output over the sum of the positive ones, 0 if none is positive)."""
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        values, sizes = self.kernel(texts)
+        out = self.features(values) @ self.weights
+        best, total = out.argmax(axis=1), np.maximum(out, 0).sum(axis=1)
+        share = np.divide(out.max(axis=1, initial=0), total, out=np.zeros(len(out)), where=total > 0)
+        return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, share, 0.0)
 
 
 def learn(texts: list[str], langs: list[str]) -> LanguageModel:
     """Fit on texts in a fixed order; landmarks are spread evenly over the languages."""
-    names = sorted(set(langs))
     pieces = [(t, la) for t, la in zip(texts, langs, strict=True)]
     pieces += [(" ".join(w[(k := i % (len(w) - FRAGMENT)):k + FRAGMENT]), la)
                for i, (t, la) in enumerate(pieces) if len(w := t.split()) > FRAGMENT]
-    rows = presence([t for t, _ in pieces])
-    used = rows.any(axis=1)
-    rows, labels = rows[used], [la for (_, la), u in zip(pieces, used, strict=True) if u]
-    names = [n for n in names if n in set(labels)]
+    pieces = [(t, la) for t, la in pieces if any(map(str.isalpha, t))]
+    names = sorted({la for _, la in pieces})
     if not names:
-        return LanguageModel([], np.zeros((0, SLOTS), np.uint8), np.zeros((0, 0)), np.zeros((0, 0)))
+        none = np.zeros((0, 0))
+        return LanguageModel([], np.zeros(0, np.uint64), none.astype(np.uint8), np.zeros(0), none, none)
     each = max(1, LANDMARKS // len(names))
-    marks = [i for n in names for i in [j for j, la in enumerate(labels) if la == n][:each]]
-    value, vector = np.linalg.eigh(kernel(rows[marks], rows[marks]))
+    marks = [t for n in names for t in [t for t, la in pieces if la == n][:each]]
+    sets = [grams(t) for t in marks]
+    vocabulary = np.unique(np.concatenate(sets))
+    model = LanguageModel(names, vocabulary, np.stack([np.packbits(presence([g], vocabulary)[0] > 0) for g in sets]),
+                          np.array([len(g) for g in sets], float), np.zeros((0, 0)), np.zeros((0, 0)))
+    value, vector = np.linalg.eigh(model.kernel(marks)[0])
     solid = value > 1e-6 * value.max()
-    model = LanguageModel(names, rows[marks].astype(np.uint8), vector[:, solid] / np.sqrt(value[solid]), np.zeros((0, 0)))
-    f = model.features(rows)
+    model.whiten = vector[:, solid] / np.sqrt(value[solid])
+    f = model.features(model.kernel([t for t, _ in pieces])[0])
+    labels = [la for _, la in pieces]
     target = (np.array(labels)[:, None] == np.array(names)[None, :]).astype(float)
-    weight = 1 / np.array([labels.count(la) for la in labels])  # languages count alike
+    number = Counter(labels)
+    weight = 1 / np.array([number[la] for la in labels])  # languages count alike
     weight *= len(labels) / weight.sum()
     gram = (f * weight[:, None]).T @ f + PENALTY * len(names) * np.eye(f.shape[1])
     model.weights = np.linalg.solve(gram, (f * weight[:, None]).T @ target)
@@ -132,7 +159,9 @@ def fit_languages(docs: DataFrame, per_language: int = LEARN) -> LanguageModel:
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The columns of ``docs`` with lang_pred and score for every whole text.
-    Null texts, texts without a letter, and a model without languages give ``und`` and 0."""
+    Null texts, texts without a letter, and a model without languages give ``und`` and 0; an
+    empty table gives no rows. Very long texts are read whole, about a million characters at a
+    time, and must fit in a task. Columns lang_pred and score of ``docs`` are replaced."""
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             langs, scores = model.predict(t.tolist())

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
 
 from quotaflow.llm import langid as L
-from quotaflow.llm.langid import fit_languages, identify_languages, kernel, learn, learned_sample, op5_language_id, presence
+from quotaflow.llm.langid import fit_languages, grams, identify_languages, learn, learned_sample, op5_language_id
 from helpers import DOCS, SMALL, collected, documents
 
 
@@ -22,16 +24,69 @@ def test_held_out_accuracy_of_the_query(spark):
     assert len(mine) > 150 and np.mean(mine) > 0.98
 
 
-def test_kernel_is_the_blended_presence_kernel():
-    a, b = "the cat", "cat that"
+def plain_grams(text):
+    clean = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    t = f" {clean} " if any(map(str.isalpha, clean)) else ""
+    return {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    def grams(t):
-        t = f" {t} "
-        return {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    want = len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
-    assert abs(kernel(presence([a]), presence([b]))[0, 0] - want) < 0.02  # but for hash collisions
-    assert (presence(["The  CAT, 12!"]) == presence([a])).all()
+def unpacked(g):
+    return {"".join(chr(c) for c in (int(x) >> 42, int(x) >> 21 & 0x1FFFFF, int(x) & 0x1FFFFF) if c) for x in g}
+
+
+def test_ngrams_are_exact(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["the cat", "The  CAT, 12!", "a", "é", "x\U0001F600y", "\U00010400\U00010428", "ab ab ab", " İi ", "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 20_000)))]
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(L, "PACKED", size)
+        for t in texts:
+            g = grams(t)
+            assert len(g) == len(set(g.tolist())) and unpacked(g) == plain_grams(t), t[:20]
+    assert not len(grams("12 !")) and not len(grams(None))
+
+
+def test_model_against_brute_force_kernel_ridge():
+    rng = np.random.default_rng(4)
+    words = {la: ["".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(60)] for la, letters in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "fghijk中"))}
+    texts = [(" ".join(rng.choice(words[la], rng.integers(2, 40))), la) for la in list(words) * 70]
+    model = learn([t for t, _ in texts], [la for _, la in texts])
+    pieces = texts + [(" ".join(w[(k := i % (len(w) - L.FRAGMENT)):k + L.FRAGMENT]), la) for i, (t, la) in enumerate(texts) if len(w := t.split()) > L.FRAGMENT]
+    marks = [t for la in words for t in [t for t, other in texts if other == la][:L.LANDMARKS // 3]]
+
+    def k(many, few):
+        a, b = [plain_grams(t) for t in many], [plain_grams(t) for t in few]
+        return np.array([[len(x & y) / math.sqrt(len(x) * len(y)) if x else 0.0 for y in b] for x in a])
+
+    # Ridge in its dual form: with a kernel from the pseudo-inverse of the landmarks', cosine-normalised, plus 1 for the bias.
+    value, vector = np.linalg.eigh(k(marks, marks))
+    inverse = sum(np.outer(v, v) / x for x, v in zip(value, vector.T, strict=True) if x > 1e-6 * value.max())
+
+    def through(a, b):
+        p, q = k(a, marks), k(b, marks)
+        own = lambda m: np.sqrt(np.einsum("ij,jk,ik->i", m, inverse, m))
+        return p @ inverse @ q.T / np.outer(own(p), own(q)) + 1
+
+    of = [la for _, la in pieces]
+    weight = np.array([1 / of.count(la) for la in of])
+    weight *= len(of) / weight.sum()
+    target = np.array([[float(la == name) for name in words] for la in of])
+    ts = [t for t, _ in pieces]
+    alpha = np.linalg.solve(through(ts, ts) + 3 * L.PENALTY * np.diag(1 / weight), target)
+    asked = [" ".join(rng.choice(words[la], 5)) for la in list(words) * 10] + ["ijk abc", "a"]
+    want = through(asked, ts) @ alpha
+    values, _ = model.kernel(asked)
+    assert np.allclose(values, k(asked, marks), atol=1e-6)
+    assert np.allclose(model.features(values) @ model.weights, want, atol=1e-4)
+    assert model.predict(asked)[0] == [list(words)[i] for i in want.argmax(axis=1)]
+
+
+def test_the_greatest_output_wins_if_all_are_negative_and_ties_go_by_name():
+    model = learn(["abc abd", "xyz xyw"], ["a", "b"])
+    model.weights = np.zeros_like(model.weights)
+    assert model.predict(["abc"])[0] == ["a"] and model.predict(["abc"])[1][0] == 0
+    model.weights[-1] = [-2.0, -1.0]
+    langs, scores = model.predict(["abc", ""])
+    assert langs == ["b", "und"] and scores.tolist() == [0, 0]
 
 
 def test_bounded_sample_ignores_held_out_rows_and_copies(spark):
@@ -69,4 +124,3 @@ def test_no_labels_one_language_and_empty(spark):
     assert one.predict(["some text", None])[0] == ["en", "und"]
     empty = spark.createDataFrame([], DOCS)
     assert identify_languages(empty, fit_languages(empty)).count() == 0
-    assert L.BATCH == 256

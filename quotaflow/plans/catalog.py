@@ -391,6 +391,20 @@ FROM raw WHERE try_strptime(reporting_month, '%Y-%m') IS NOT NULL
 """
 
 
+def _slots_sql(most: int = 256) -> str:
+    """Rows by slot of the model's features: a value's if it is among the column's most frequent
+    ones or there are few, the others' together, and those other than 0 of a number."""
+    from quotaflow.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+
+    numbers = {"month_num": "month(reporting_month)", "year": "year(reporting_month)"}
+    values = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, count(*) AS n FROM enriched GROUP BY {c}" for c in CATEGORICAL_FEATURES)
+    counts = " UNION ALL ".join(f"SELECT 'num__{c}', count(*) FILTER (WHERE {numbers.get(c, c)} <> 0) FROM enriched" for c in NUMERIC_FEATURES)
+    return f"""v AS ({values}),
+p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS place, count(*) OVER (PARTITION BY c) AS held FROM v WHERE v IS NOT NULL)
+SELECT 'cat__' || c || '_' || CASE WHEN held <= {most} OR place <= {most} THEN v ELSE '__other__' END AS feature, CAST(sum(n) AS BIGINT) AS rows
+FROM p GROUP BY ALL UNION ALL {counts}"""
+
+
 def _a3_sql(column: str) -> str:
     return FACTS_CTE + f"""
 SELECT {column},
@@ -631,6 +645,21 @@ u AS (SELECT label, slot, sum(n) OVER (PARTITION BY label ORDER BY slot) AS upto
 cut AS (SELECT label, min(slot) AS last FROM u WHERE upto >= total * 0.8E0 GROUP BY label)
 SELECT 'plain' AS split, label, slot < 8000 AS train, count(*) AS n FROM f GROUP BY ALL
 UNION ALL SELECT 'stratified', f.label, slot <= last, count(*) FROM f JOIN cut ON cut.label = f.label GROUP BY ALL
+"""
+    o["feature_slots"] = FACTS_CTE + ", " + _slots_sql()
+    o["baseline_scores"] = FACTS_CTE + """
+, f AS (SELECT CASE WHEN quota_attainment_pct >= 100 THEN 1 ELSE 0 END AS label, forecasted_revenue_next_quarter AS y, total_revenue_eur AS p,
+          CAST(CAST('0x' || substr(md5(record_id || '|42'), 1, 8) AS BIGINT) % 10000 AS INTEGER) AS slot FROM enriched),
+c AS (SELECT label, slot, count(*) AS n FROM f GROUP BY label, slot),
+u AS (SELECT label, slot, n, sum(n) OVER (PARTITION BY label ORDER BY slot) AS upto, sum(n) OVER (PARTITION BY label) AS total FROM c),
+cut AS (SELECT label, min(slot) AS last FROM u WHERE upto >= total * 0.8E0 GROUP BY label),
+side AS (SELECT u.label, sum(n) FILTER (WHERE slot <= last) AS train, coalesce(sum(n) FILTER (WHERE slot > last), 0) AS test
+         FROM u JOIN cut ON cut.label = u.label GROUP BY u.label),
+best AS (SELECT test FROM side ORDER BY train DESC, label LIMIT 1)
+SELECT count(*) AS held_out, round_even(avg(abs(y - p)), 4) AS mae_eur,
+  round_even(1.0E0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
+  round_even((SELECT test FROM best) / (SELECT CAST(sum(test) AS DOUBLE) FROM side), 8) AS majority_accuracy
+FROM f WHERE slot >= 8000
 """
     o["model_reuse"] = FACTS_CTE + f"""
 , f AS (SELECT count(*) AS rows, CAST(count(*) AS VARCHAR) || '-' || CAST(CAST(sum(CAST(total_revenue_eur AS DECIMAL(24,2))) AS DECIMAL(38,2)) AS VARCHAR) AS fingerprint,

@@ -6,6 +6,10 @@ as int8 codes with one scale, ``u = s * c + r``; its residual length bounds the
 error of a product rigorously: ``|<u,v> - s_u s_v <c_u,c_v>| <= |r_v| + |r_u| (1 +
 |r_v|)``. Pairs surely above or below the threshold are decided by the int8
 product; only the rest is recomputed from the original vectors in double precision.
+
+Tile pairs meet in their codes alone. A pair of tiles gives the counts and the forest of
+its sure links, and the rows that have undecided pairs (never the pairs); those rows
+fetch their original vectors and meet once more, so doubles move for them only.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from .tiles import matrix, stack, units, valid_vectors
 TILE = 1024
 #: Slack for the rounding of the double-precision sums themselves.
 SLACK = 1e-9
+#: Undecided pairs recomputed at a time.
+PAIRS = 1 << 16
 
-TILE_SCHEMA = "label string, tile int, tiles int, dim int, ids binary, n binary, raw binary, codes binary, scale binary, err binary"
+TILE_SCHEMA = "label string, tile int, tiles int, dim int, ids binary, n binary, codes binary, scale binary, err binary"
 
 
 def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,24 +48,19 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, scale, err = quantise(units(raw))
         out.append({"label": rows["label"].iloc[0], "tile": rows["tile"].iloc[0], "tiles": rows["tiles"].iloc[0], "dim": dim,
                     "ids": rows["rep"].to_numpy(np.int64).tobytes(), "n": rows["n"].to_numpy(np.int64).tobytes(),
-                    "raw": raw.tobytes(), "codes": codes.tobytes(), "scale": scale.tobytes(), "err": err.tobytes()})
+                    "codes": codes.tobytes(), "scale": scale.tobytes(), "err": err.tobytes()})
     return pd.DataFrame(out)
 
 
-def linked(a: tuple, b: tuple, dim: int, threshold: float) -> tuple[np.ndarray, int]:
-    """Which rows of tiles a and b (raw, codes, scale, err) reach the threshold,
-    and how many pairs were recomputed."""
+def linked(a: tuple, b: tuple, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of tiles a and b (codes, scale, err) surely reach the threshold,
+    and which may: those need their original vectors."""
     wide = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64  # sums of the int8 products stay exact
-    dots = (a[1].astype(wide) @ b[1].astype(wide).T).astype(np.float64)
-    est = dots * a[2][:, None] * b[2][None, :]
-    err = b[3][None, :] + a[3][:, None] * (1 + b[3][None, :]) + SLACK
+    dots = (a[0].astype(wide) @ b[0].astype(wide).T).astype(np.float64)
+    est = dots * a[1][:, None] * b[1][None, :]
+    err = b[2][None, :] + a[2][:, None] * (1 + b[2][None, :]) + SLACK
     links = est - err >= threshold
-    i, j = np.nonzero(~links & (est + err >= threshold))
-    ua, ub = units(a[0]), units(b[0])
-    for k in range(0, len(i), 1 << 16):
-        x, y = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
-        links[x, y] = (ua[x] * ub[y]).sum(axis=1) >= threshold
-    return links, len(i)
+    return links, ~links & (est + err >= threshold)
 
 
 def _forest(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -72,33 +73,59 @@ def _forest(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         least = nxt
 
 
+def _summed(links: np.ndarray, ids: np.ndarray, n: np.ndarray, b_ids: np.ndarray, b_n: np.ndarray, same: bool) -> pd.DataFrame:
+    """u, v, links of a link matrix: u's number of links and the least id v reached inside it."""
+    if same:
+        links = links | links.T
+        np.fill_diagonal(links, False)
+        keep = np.flatnonzero(links.any(axis=1))
+        square, counts, ids = links[np.ix_(keep, keep)], (links @ n)[keep], ids[keep]
+    else:
+        x, y = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+        part = links[np.ix_(x, y)]
+        square = np.zeros((len(x) + len(y),) * 2, dtype=bool)
+        square[:len(x), len(x):], square[len(x):, :len(x)] = part, part.T
+        counts = np.concatenate([part @ b_n[y], part.T @ n[x]])
+        ids = np.concatenate([ids[x], b_ids[y]])
+    return pd.DataFrame({"u": ids, "v": _forest(square, ids) if len(ids) else ids, "links": counts})
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 def side(p, r=r):
                     g = lambda name, kind: np.frombuffer(getattr(r, p + name), kind)
-                    return (matrix(getattr(r, p + "raw"), r.dim, np.float64), matrix(getattr(r, p + "codes"), r.dim, np.int8),
-                            g("scale", np.float64), g("err", np.float64)), g("ids", np.int64), g("n", np.int64)
+                    return (matrix(getattr(r, p + "codes"), r.dim, np.int8), g("scale", np.float64), g("err", np.float64)), g("ids", np.int64), g("n", np.int64)
 
                 (a, ids, n), (b, b_ids, b_n) = side(""), side("b_")
-                links, again = linked(a, b, r.dim, threshold)
-                if r.tile == r.b_tile:
-                    links = links | links.T
-                    np.fill_diagonal(links, False)
-                    counts = links @ n
-                    keep = np.flatnonzero(links.any(axis=1))
-                    square = links[np.ix_(keep, keep)]
-                    ids, counts = ids[keep], counts[keep]
-                else:
-                    x, y = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
-                    part = links[np.ix_(x, y)]
-                    square = np.zeros((len(x) + len(y),) * 2, dtype=bool)
-                    square[:len(x), len(x):], square[len(x):, :len(x)] = part, part.T
-                    counts = np.concatenate([part @ b_n[y], part.T @ n[x]])
-                    ids = np.concatenate([ids[x], b_ids[y]])
-                if len(ids):
-                    yield pd.DataFrame({"u": ids, "v": _forest(square, ids), "links": counts, "again": again})
+                sure, unsure = linked(a, b, r.dim, threshold)
+                same = r.tile == r.b_tile
+                if same:
+                    np.fill_diagonal(unsure, False)
+                    unsure |= unsure.T  # the bounds of a pair differ with its order
+                found = _summed(sure, ids, n, b_ids, b_n, same)
+                yield found.assign(label=r.label, tile=r.tile, b_tile=r.b_tile, side=-1)
+                for at, rows in ((0, ids[unsure.any(axis=1)]), (1, b_ids[unsure.any(axis=0)])):
+                    if len(rows) and not (same and at):
+                        yield pd.DataFrame({"u": rows, "v": rows, "links": 0}).assign(label=r.label, tile=r.tile, b_tile=r.b_tile, side=at)
+    return run
+
+
+def _decide(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = bool((pdf["tile"] == pdf["b_tile"]).iloc[0])
+        one, two = (pdf if same else pdf[pdf["side"] == at] for at in (0, 1))
+        (a, ids, n), (b, b_ids, b_n) = ((units(stack(p["embedding"])), p["u"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for p in (one, two))
+        # The tiles' own codes and bounds again, as they follow from a vector alone.
+        sure, unsure = linked(quantise(a), quantise(b), a.shape[1], threshold)
+        if same:
+            sure, unsure = sure | sure.T, unsure | unsure.T
+        links, (i, j) = np.zeros_like(sure), np.nonzero(unsure & ~sure)
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k:k + PAIRS], j[k:k + PAIRS]
+            links[x, y] = (a[x] * b[y]).sum(axis=1) >= threshold
+        return _summed(links, ids, n, b_ids, b_n, same)
     return run
 
 
@@ -109,7 +136,9 @@ def embedding_components(embeddings: DataFrame, threshold: float = 0.98, tile: i
     Vectors of equal, non-null labels link at a cosine of ``threshold`` or more
     (double precision). A vector that is null, empty, zero or holds null or
     non-finite components, or has no label or id, links with nothing; so do
-    vectors of different dimension. Repeated rows are vectors of their own.
+    vectors of different dimension. Repeated rows are vectors of their own. An empty
+    table gives no rows. Other columns are ignored, whatever their names. A vec_id names
+    one vector; a vector must be small against a task, as a tile holds ``tile`` of them.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
                              F.col("label").cast("string").alias("label"))
@@ -121,9 +150,13 @@ def embedding_components(embeddings: DataFrame, threshold: float = 0.98, tile: i
     packed = written(dealt.groupBy("label", "tile").applyInPandas(_pack, TILE_SCHEMA), "vector-tiles")
     left = packed.withColumn("b_tile", F.explode(F.sequence("tile", F.col("tiles") - 1)))
     right = packed.select(F.explode(F.sequence(F.lit(0), "tile")).alias("tile"), F.col("tile").alias("b_tile"), "label", "dim", *[
-        F.col(c).alias(f"b_{c}") for c in ("ids", "n", "raw", "codes", "scale", "err")])
+        F.col(c).alias(f"b_{c}") for c in ("ids", "n", "codes", "scale", "err")])
     pairs = left.join(right, ["label", "dim", "tile", "b_tile"])
-    found = written(pairs.mapInPandas(_compare(threshold), "u long, v long, links long, again int"), "vector-links")
+    met = written(pairs.mapInPandas(_compare(threshold), "u long, v long, links long, label string, tile int, b_tile int, side int"), "vector-links")
+    originals = classes.select(F.col("rep").alias("u"), "label", "embedding", "n", F.size("embedding").alias("dim"))
+    again = (met.where("side >= 0").select("u", "label", "tile", "b_tile", "side").join(originals, ["label", "u"])
+             .groupBy("label", "tile", "b_tile", "dim").applyInPandas(_decide(threshold), "u long, v long, links long"))
+    found = written(met.where("side < 0").select("u", "v", "links").union(again), "vector-reach")
     counts = found.groupBy("u").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("u", "v"))
     by_class = written(classes.join(counts, F.col("rep") == F.col("u"), "left").join(groups, F.col("rep") == F.col("id"), "left").select(

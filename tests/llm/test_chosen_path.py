@@ -134,3 +134,26 @@ def test_connected_components(spark):
     want = {x: min(y for y in parent if find(y) == find(x)) for x in {x for e in edges if e[0] != e[1] for x in e}}
     got = connected_components(spark.createDataFrame(edges, "u long, v long"))
     assert {r["id"]: r["component"] for r in got.collect()} == want
+
+
+def met(percent, depth, pairs=1500):
+    """Share of pairs at exactly the similarity that meet in some tree at a depth."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 32, (pairs, C.MINWISE), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < percent / 100, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+    found = set()
+    for tree in range(C.TREES):
+        start = C._mix(np.full(pairs, tree, np.uint64) + C._ODD[7])
+        one, two = (C._branch(start, np.arange(pairs), m, depth, C.second_branch(percent)) for m in (a, b))
+        found |= {r for r, _ in set(zip(one[1].tolist(), one[0].tolist())) & set(zip(two[1].tolist(), two[0].tolist()))}
+    return len(found) / pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_by_depth_of_pairs_at_the_threshold(percent):
+    assert met(percent, 3) > 0.998 and met(percent, 6) > 0.99 and met(percent, 9) > 0.98 and met(percent, 12) > 0.96
+
+
+def test_branches_exceed_one_over_the_similarity():
+    assert C.second_branch(85) == pytest.approx(0.25) and C.second_branch(100) == pytest.approx(C.SHARED - 1) and C.second_branch(1) == 1
+    assert all((1 + C.second_branch(p)) * p / 100 > 1 for p in range(54, 101))

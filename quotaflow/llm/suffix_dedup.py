@@ -6,18 +6,19 @@ of the smallest 20-byte hash in every 50-byte window, about one position in 16,
 same position in equal windows. Two documents that share 50 bytes thus share an
 indexed suffix.
 
-1. Tasks emit their anchors' fingerprints, packed by key range; one row a range and
-   flush is a batch. In each range, every new batch becomes a sorted suffix array
-   (ordered by the fingerprint of the suffix's first 20 bytes), is merge-scanned against
-   the levels that exist, and is added as a level; levels of equal size merge
-   geometrically. A suffix that meets an equal one of another document is a hit.
-2. Only hits take their windows' bytes along to a second exchange by key range, where
-   equal 50-byte windows are found exactly and all but those of the smallest doc_id
-   are marked.
+1. A filter: tasks emit the fingerprints of the 20 bytes at their anchors, packed by key
+   range. In each range the batches' sorted fingerprints are merge-scanned; only suffixes
+   whose first 20 bytes stand in another document too go on.
+2. These take their windows' bytes along to an exchange by key range. There every new batch
+   becomes a suffix array in byte order, is merge-scanned against the levels that
+   exist, by the lengths of common prefixes, and is added as a level; levels of equal size merge
+   geometrically. All windows but those of the smallest doc_id are marked.
+   Contexts without a first window leave the levels: another one stands for them.
 3. The marked windows return to their documents and are cut out.
 
 Equal texts are settled before: all but the first copy go whole. Hot keys are
-combined inside each flush: one suffix a key leaves it, whatever its number of rows.
+combined inside each flush: one suffix a key leaves it, whatever its number of rows. Very
+long texts are hashed whole, 56 bytes of memory for a byte of text.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1
 #: Text bytes hashed at once, held before a flush, and of a key range; the least number of ranges.
 CHUNK, FLUSH, RANGE, RANGES = 1 << 19, 1 << 23, 1 << 23, 64
-#: Rows of an Arrow batch taken at a time.
-SLICE = 128
+#: Rows of an Arrow batch taken at a time; contexts of a batch of the suffix family.
+SLICE, BATCH = 128, 1 << 14
 #: Stands for a null doc_id.
 NO_ID = -1 << 63
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,7 +180,7 @@ def _index_rows(ranges: int):
 
 
 class Family:
-    """Levels of sorted suffix arrays: keys, one doc a key, and whether it is a hit."""
+    """Levels of sorted fingerprints of the filter: keys, one doc a key, and whether it is a hit."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
@@ -294,22 +295,80 @@ def _window_rows(ranges: int):
     return run
 
 
-def _repeats(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Rows of a (n, SPAN) byte matrix that equal a row of a smaller doc_id."""
-    words = np.zeros((len(windows), SPAN + 6), np.uint8)
-    words[:, :SPAN] = windows
-    words = words.view(np.uint64)
-    h = (words * _ODD[8:15]).sum(axis=1, dtype=np.uint64)
-    h ^= h >> np.uint64(31)
-    order = np.lexsort((docs, h))
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    if not (words[order] == words[first]).all():  # two windows of one hash: compare the bytes themselves
-        _, group = np.unique(np.ascontiguousarray(windows).view(f"V{SPAN}").ravel(), return_inverse=True)
-        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, docs)
-        return np.flatnonzero(docs > least[group])
-    return order[docs[order] > docs[first]]
+def _strings(blob: np.ndarray, first: np.ndarray, n: np.ndarray, step: int, width: int) -> np.ndarray:
+    """For each row the ``n`` bytes from ``first`` on (backwards if ``step`` is -1), filled with zeros to ``width``."""
+    out = np.zeros((len(first), width), np.uint8)
+    reach = np.arange(width)
+    for a in range(0, len(first), BATCH):
+        part = slice(a, a + BATCH)
+        inside = reach < n[part, None]
+        out[part][inside] = blob[(first[part, None] + step * reach)[inside]]
+    return out.view(f"S{width}").ravel()
+
+
+def _prefixes(ordered: np.ndarray, width: int) -> np.ndarray:
+    """Length of the common prefix of each string but the first with the one before it."""
+    chars = ordered.view(np.uint8).reshape(-1, width)
+    other = chars[1:] != chars[:-1]
+    return np.where(other.any(axis=1), other.argmax(axis=1), width)
+
+
+class SuffixFamily:
+    """A logarithmic family of sparse suffix arrays over contexts of anchors.
+
+    A suffix array is an array of context numbers in the byte order of the suffixes that begin at
+    the anchors (their first SPAN bytes; no window reaches further). Every window of a context is
+    ``back`` bytes left of its anchor and SPAN - ``back`` bytes of its suffix: two windows are equal
+    if the suffixes' common prefix and that of the bytes read leftwards are as long. Marks in
+    ``gone`` (context, window + 1) the windows that also are in a document with a smaller id.
+    """
+
+    def __init__(self, blob: np.ndarray, at: np.ndarray, sizes: np.ndarray, backs: np.ndarray, keys: np.ndarray, docs: np.ndarray):
+        self.keys, self.docs, self.n_left, self.n_right = keys, docs, backs, sizes - backs
+        self.right = _strings(blob, at + backs, self.n_right, 1, SPAN)
+        self.left = _strings(blob, at + backs - 1, backs, -1, REACH)
+        self.gone = np.zeros((len(keys), REACH + 2), np.int8)
+        self.levels: list[np.ndarray] = []
+
+    def add(self, batch: np.ndarray) -> None:
+        """Sort a batch of contexts into a suffix array, merge-scan it against the levels, add it as a level."""
+        batch = batch[np.argsort(self.right[batch], kind="stable")]
+        known = np.unique(self.keys[batch])
+        met = [level[np.isin(self.keys[level], known)] for level in self.levels]
+        self._scan(self._merged([*met, batch]))
+        self.levels.append(self._first(batch))
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            one, two = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._first(self._merged([two, one])))
+
+    def _merged(self, arrays: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(arrays)
+        return rows[np.argsort(self.right[rows], kind="stable")]  # sorted runs: a merge
+
+    def _first(self, rows: np.ndarray) -> np.ndarray:
+        """Without the contexts all of whose windows are repeats: smaller documents stand for them."""
+        return rows[self.gone[rows].sum(axis=1) < self.n_left[rows] + self.n_right[rows] - SPAN + 1]
+
+    def _scan(self, rows: np.ndarray) -> None:
+        if len(rows) < 2:
+            return
+        docs, n_left, n_right = self.docs[rows], self.n_left[rows], self.n_right[rows]
+        prefix = _prefixes(self.right[rows], SPAN)
+        by_left = np.argsort(self.left[rows], kind="stable")
+        before = _prefixes(self.left[rows[by_left]], REACH)
+        lefts = np.zeros(len(rows), np.int64)
+        for back in range(REACH):
+            e = np.flatnonzero((n_left >= back) & (n_right >= SPAN - back))
+            if len(e) < 2:
+                continue
+            rights = np.concatenate([[0], np.cumsum(prefix < SPAN - back)])
+            lefts[by_left[1:]] = np.cumsum(before < back)
+            same = rights[e] * len(rows) + lefts[e]
+            order = np.lexsort((docs[e], same))
+            new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+            least = docs[e][order][new][np.cumsum(new) - 1]
+            hit = e[order[docs[e][order] > least]]
+            self.gone[rows[hit], n_left[hit] - back + 1] = 1
 
 
 def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -322,20 +381,17 @@ def _match_range(pdf: pd.DataFrame) -> pd.DataFrame:
         spans = np.stack([docs, rids, starts, lasts + sizes], axis=1)
     else:
         blob = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-        at, n, backs = np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - SPAN + 1, backs.astype(np.int64)
         order = np.lexsort((docs, keys))
         new = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
         least, most = docs[order][new], docs[order][np.append(new[1:], len(order)) - 1]
         shared = np.zeros(len(order), bool)
         shared[order] = np.repeat(least != most, np.diff(np.append(new, len(order))))
-        gone = np.zeros((len(order), REACH + 2), np.int8)  # whether window w of a row goes, in column w + 1
-        for back in range(REACH):  # windows whose anchor stands ``back`` bytes after their start
-            e = np.flatnonzero(shared & (backs >= back) & (backs - back < n))
-            if len(e):
-                w = backs[e] - back
-                hit = _repeats(blob[(at[e] + w)[:, None] + np.arange(SPAN)], docs[e])
-                gone[e[hit], w[hit] + 1] = 1
-        edge = np.diff(gone, axis=1)
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])[shared]
+        docs, rids, starts, lasts, sizes, keys = (c[shared] for c in (docs, rids, starts, lasts, sizes, keys))
+        family = SuffixFamily(blob, at, sizes, backs[shared].astype(np.int64), keys, docs)
+        for a in range(0, len(docs), BATCH):
+            family.add(np.arange(a, min(a + BATCH, len(docs))))
+        edge = np.diff(family.gone, axis=1)
         row, w = np.nonzero(edge == 1)
         _, past = np.nonzero(edge == -1)
         spans = np.stack([docs[row], rids[row], starts[row] + w, lasts[row] + past - 1 + SPAN], axis=1)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from quotaflow.llm import suffix_dedup as S
 from quotaflow.llm.suffix_dedup import Family, anchors, op8_suffix_dedup, remove_repeats, union
@@ -58,6 +59,7 @@ def test_small_flushes_and_many_levels(spark, monkeypatch):
     texts = corpus(7, 150)
     monkeypatch.setattr(S, "FLUSH", 1500)
     monkeypatch.setattr(S, "CHUNK", 400)
+    monkeypatch.setattr(S, "BATCH", 16)
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
     pdf = S.pd.DataFrame([(d, t) for d, t in rows if t], columns=["doc_id", "text"])
@@ -105,6 +107,39 @@ def test_family_flags_both_sides_once():
     assert set(zip(keys.tolist(), docs.tolist(), strict=True)) == want and len(keys) == len(want)
 
 
+def contexts(rng, n):
+    """Contexts of anchors with few different bytes: (doc, back, bytes)."""
+    rows = []
+    for _ in range(n):
+        left, right = rng.randint(0, 30), rng.randint(20, 50)
+        if left + right >= 50:
+            left_bytes, right_bytes = (bytes(rng.choice(b"\0a") if i == rng.randint(0, m) else 97 for i in range(m)) for m in (left, right))
+            rows.append((rng.randint(0, 40), left, left_bytes + right_bytes))
+    return rows
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_suffix_family_against_brute_force(batch):
+    rows = contexts(random.Random(batch), 400)
+    first = {}
+    for doc, back, raw in rows:
+        for w in range(len(raw) - 49):
+            same = (back - w, raw[w:w + 50])
+            first[same] = min(first.get(same, doc), doc)
+    sizes = np.array([len(r[2]) for r in rows])
+    family = S.SuffixFamily(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), np.cumsum(sizes) - sizes, sizes,
+                            np.array([r[1] for r in rows]), np.zeros(len(rows), np.uint32), np.array([r[0] for r in rows]))
+    for a in range(0, len(rows), batch):
+        family.add(np.arange(a, min(a + batch, len(rows))))
+    for i, (doc, back, raw) in enumerate(rows):
+        want = [int(first[back - w, raw[w:w + 50]] < doc) for w in range(len(raw) - 49)]
+        assert family.gone[i, 1:len(want) + 1].tolist() == want and not family.gone[i, len(want) + 1:].any()
+    assert family.gone.any() and len(family.levels) < 10
+    for level in family.levels:
+        suffixes = family.right[level].tolist()
+        assert suffixes == sorted(suffixes)
+
+
 def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     want = [(d, n, m, k, hashlib.sha256(kept).hexdigest()) for d, n, m, k, kept in brute(docs)]

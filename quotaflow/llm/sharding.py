@@ -4,8 +4,10 @@ Records are keyed by (text hash, doc_id): equal texts are neighbours, and a
 large group of copies can still be divided by doc_id. A size-weighted sample of
 the keys gives quantile boundaries; records are range-partitioned by them, and
 a range that came out overfull (sampling error, one very long text) is
-subdivided by boundaries drawn from a second sample inside it. Running sums over
-the ranges then place every record, so shard sizes differ by about one record.
+subdivided by boundaries drawn from a second sample inside it. The sampled ranges
+are bounded in number, so they are cut into slices at even steps of the text hash,
+which is uniform but for copies; the number of slices follows from the total.
+Running sums over the slices then place every record, so shard sizes differ by about one record.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import table, text_bytes, written
 SAMPLES_PER_RANGE = 24
 #: Upper bound of the number of ranges of the first pass.
 MAX_RANGES = 1024
+#: Expected size of a slice in bytes (sizes as above): what one window task sums up.
+SLICE_BYTES = 64 << 20
 #: A range of more than this many times the mean is subdivided.
 OVERFULL = 2.0
 
@@ -82,16 +86,19 @@ def shard_records(docs: DataFrame, shards: int = 16, ranges: int = 256) -> DataF
         wide = placed.where(F.col("part").isin(list(over)))
         more = _splitters(wide, sum(over.values()), min(MAX_RANGES, int(OVERFULL * len(over) * 2) + 1), 2)
         placed = keyed.withColumn("part", _position(sorted(set(first + more)), key).cast("int"))
-    # Bytes and rows before each range: one row a range, a bounded table.
-    sums = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    before = (placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-              .select("part", F.coalesce(F.sum("bytes").over(sums), F.lit(0)).alias("bytes_before"),
+    # The records' order is by hash: its leading bits divide each range in that order.
+    bits = max(0, -(-total // SLICE_BYTES) - 1).bit_length()
+    placed = placed.withColumn("step", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    # Bytes and rows before each slice: at most one row a range and one for every SLICE_BYTES / 2.
+    sums = W.orderBy("part", "step").rowsBetween(W.unboundedPreceding, -1)
+    before = (placed.groupBy("part", "step").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+              .select("part", "step", F.coalesce(F.sum("bytes").over(sums), F.lit(0)).alias("bytes_before"),
                       F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("rows_before")))
-    inside = W.partitionBy("part").orderBy("h", "d", "size", "text_crc32")
+    inside = W.partitionBy("part", "step").orderBy("h", "d", "size", "text_crc32")
     run = inside.rowsBetween(W.unboundedPreceding, -1)
     ranked = (placed.withColumn("lead", F.coalesce(F.sum("size").over(run), F.lit(0)))
               .withColumn("at", F.row_number().over(inside) - 1)
-              .join(F.broadcast(before), "part")
+              .join(before, ["part", "step"])
               # the shard that the record's middle byte falls into
               .withColumn("shard", F.least(F.lit(shards - 1), F.floor(
                   (F.col("bytes_before") + F.col("lead") + F.col("size") / 2) * shards / F.lit(max(total, 1)))).cast("int"))

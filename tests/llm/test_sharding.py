@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 
+from quotaflow.llm import sharding
 from quotaflow.llm.sharding import op2_sharding, shard_records
 from helpers import DOCS, SMALL, documents
 
@@ -39,3 +40,13 @@ def test_repeats_null_ids_empty_and_clashing_columns(spark):
     df = df.selectExpr("*", "1 AS size", "'p' AS part", "2 AS shard", "3 AS h")
     check(shard_records(df, shards=4, ranges=8).collect(), [(None, "a")] * 3 + [(5, "b")] * 40, shards=4)
     assert shard_records(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_slices_inside_ranges(spark, monkeypatch):
+    texts = ["copy"] * 200 + [f"text {i}" * (i % 9) for i in range(600)] + [None, "x" * 5_000]
+    df = documents(spark, texts)
+    whole = {r["doc_id"]: (r["shard"], r["slot"]) for r in shard_records(df, ranges=4).collect()}
+    monkeypatch.setattr(sharding, "SLICE_BYTES", 700)  # 64 slices: most ranges have several
+    sliced = shard_records(df, ranges=4).collect()
+    check(sliced, list(enumerate(texts)))
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sliced} == whole

@@ -38,7 +38,7 @@ from .common import give_back, parallelism, table, text_bytes, tidy, written
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1
 #: Text bytes hashed at once, held before a flush, and of a key range; the least number of ranges.
-CHUNK, FLUSH, RANGE, RANGES = 1 << 19, 1 << 23, 1 << 23, 64
+CHUNK, FLUSH, RANGE, RANGES = 1 << 19, 1 << 23, 1 << 21, 64
 #: Rows of an Arrow batch taken at a time; contexts of a batch of the suffix family.
 SLICE, BATCH = 128, 1 << 14
 #: Stands for a null doc_id.
@@ -472,11 +472,12 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), characters: bool
     named = every.where(F.col("doc_id") != NO_ID)
     narrow = written(named.select("doc_id", "rid", "sha", text_bytes("text").alias("n_bytes")), "repeat-rows")
     ranges = max(RANGES, parallelism(spark), -(-(narrow.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE))
+    dealt = max(parallelism(spark), ranges // 2)  # tasks of key ranges: their number follows from the bytes
     firsts = written(narrow.groupBy("sha").agg(F.min("doc_id").alias("first")), "repeat-firsts")
     marked = written(narrow.join(firsts, "sha").select("doc_id", "rid", "n_bytes", (F.col("doc_id") == F.col("first")).alias("is_first")), "repeat-marks")
 
     index = named.select("doc_id", "text").mapInArrow(_index_rows(ranges), "part long, docs binary, keys binary")
-    hits = index.groupBy("part").applyInPandas(_scan_range, "doc_id long, keys binary")
+    hits = index.repartition(dealt, "part").groupBy("part").applyInPandas(_scan_range, "doc_id long, keys binary")
     touched = written(marked.where("is_first").select("doc_id", "rid").distinct().join(
         hits.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")), "doc_id"), "repeat-hits")
 
@@ -484,7 +485,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), characters: bool
     texts = every.select("doc_id", "rid", "others", "text")
     windows = (texts.join(touched.hint("merge"), ["doc_id", "rid"]).select("doc_id", "rid", "others", "text", "keys")
                .mapInArrow(_window_rows(ranges), WINDOWS))
-    found = windows.groupBy("part").applyInPandas(_match_range, "doc_id long, rid long, spans binary")
+    found = windows.repartition(dealt, "part").groupBy("part").applyInPandas(_match_range, "doc_id long, rid long, spans binary")
     copies = marked.where(~F.col("is_first") & (F.col("n_bytes") >= SPAN)).distinct().select(
         "doc_id", "rid", F.lit(None).cast("binary").alias("spans"), F.col("n_bytes").alias("all"))
     spans = (found.withColumn("all", F.lit(None).cast("long")).union(copies)

@@ -5,9 +5,11 @@ A store is a folder on shared storage with, for each state of the source files,
 - ``facts``: the facts, range-clustered by (region, month) on sampled boundaries, so that a
   slice skips row groups and pages by their statistics. A cell that holds a large part of
   all rows is split further by a hash of the record id;
-- ``cells``: mergeable states (exact sums, counts) by month, region, product, team, plan,
-  stage and confidence bucket. Their number is bounded by the dimensions, not by the facts;
-- ``margins``: the same states for fewer dimensions, a few thousand rows for whole-table views;
+- ``margins``: mergeable states (exact sums, counts) for a few dimensions, some thousand rows for whole-table
+  views, added up from the facts in one pass;
+- ``cells``: the same states by month, region, product, team, plan, stage and confidence bucket. They are bounded
+  by the dimensions, but up to many millions of facts nearly as many as these and wider; no margin needs
+  them, so they are written when a view of other dimensions first asks for them;
 - ``teams``: a distinct-count sketch of the representatives of each team;
 - a manifest that names them. It is written beside and renamed into place, named after the
   state: a reader sees all of it or nothing, the first of several writers wins, and the next
@@ -32,7 +34,7 @@ from quotaflow.functions.states import are_states, states
 from quotaflow.schema import FILTER_DIMENSIONS
 
 #: Raise when the tables or the facts mapping change: older manifests are then not found.
-LAYOUT = 1
+LAYOUT = 2
 CLUSTER_BY = ("region", "reporting_month")
 DIMENSIONS = ("month_label", "region", "product_line", "sales_team", "subscription_plan", "sales_stage", "bucket_id")
 AMOUNTS = ("total_revenue_eur", "monthly_recurring_revenue_eur", "expansion_revenue_eur", "renewal_revenue_eur",
@@ -40,6 +42,11 @@ AMOUNTS = ("total_revenue_eur", "monthly_recurring_revenue_eur", "expansion_reve
            "forecasted_revenue_next_quarter", "quota_attainment_pct", "forecast_confidence_score")
 #: Dimensions of the margins, those with the fewest rows first.
 MARGINS = (("sales_stage",), ("bucket_id",), ("month_label", "region"), tuple(FILTER_DIMENSIONS.values()), ("month_label", "product_line"))
+#: Dimensions by which facts are added up on the way to the margins; each margin's are within one of them. The
+#: facts are clustered by region and month, so a task has few of either.
+PARTS = ((*FILTER_DIMENSIONS.values(), "sales_stage"), ("month_label", "region", "product_line", "bucket_id"))
+#: Names the cells' table, in the folder of the other tables.
+CELLS = "cells.json"
 #: Checks that quality_report needs, by how they merge.
 CHECKS = {"revenue_diff_eur": F.max, "negative_revenue_rows": F.sum, "missing_targets": F.sum}
 #: log2 of a sketch's slots; its relative standard error is about 1.04 / sqrt(slots).
@@ -65,16 +72,28 @@ def summarize(df: DataFrame, by: Sequence[str] = DIMENSIONS, extra: Sequence[str
     return df.groupBy(*by).agg(*states(df, amounts), *_checks(df))
 
 
-def margins_of(cells: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """All MARGINS of ``cells`` in one pass: ``margin`` is the place of the set a row belongs to,
-    its other dimensions are null."""
-    dims = sorted({d for m in MARGINS for d in m})
-    grouped = cells.groupingSets([list(m) for m in MARGINS], *dims).agg(
-        *states(cells, [*AMOUNTS, *extra]), *_checks(cells), F.grouping_id(*dims).alias("gid"))
+def _by_sets(df: DataFrame, sets: Sequence[Sequence[str]], place: str, extra: Sequence[str]) -> DataFrame:
+    """The states of facts or finer states by several sets of dimensions in one pass: ``place`` is the place of the
+    set a row belongs to, its other dimensions are null."""
+    dims = sorted({d for m in sets for d in m})
+    grouped = df.groupingSets([list(m) for m in sets], *dims).agg(
+        *states(df, [*AMOUNTS, *extra]), *_checks(df), F.grouping_id(*dims).alias("gid"))
     # In a grouping id the first column is the highest bit, set where the column is left out.
-    ids = [sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in m) for m in MARGINS]
+    ids = [sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in m) for m in sets]
     which = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("gid").cast("int")) - 1
-    return grouped.withColumn("margin", which.cast("int")).drop("gid")
+    return grouped.withColumn(place, which.cast("int")).drop("gid")
+
+
+def margins_of(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """All MARGINS of facts, or of finer states, in one pass: ``margin`` is the place of the set a row
+    belongs to, its other dimensions are null. Facts are added up by the PARTS first, inside the tasks that
+    read them, so what leaves a task is bounded by the parts, and only their rows meet the five sets."""
+    if are_states(df):
+        return _by_sets(df, MARGINS, "margin", extra)
+    parts = _by_sets(df.withColumn("bucket_id", confidence_bucket_id("forecast_confidence_score")), PARTS, "part", extra)
+    source = [next(at for at, p in enumerate(PARTS) if set(m) <= set(p)) for m in MARGINS]
+    found = _by_sets(parts, [(*m, "part") for m in MARGINS], "margin", extra)
+    return found.where(F.col("part") == F.element_at(F.array(*map(F.lit, source)), F.col("margin") + 1)).drop("part")
 
 
 def clustered(df: DataFrame, by: Sequence[str] = CLUSTER_BY, split_by: str = "record_id") -> DataFrame:
@@ -149,20 +168,38 @@ class Folder:
 
 @dataclass
 class Store:
-    """The tables of one state of the sources, opened from a manifest."""
+    """The tables of one state of the sources, opened from a manifest. ``derived`` and ``extra`` are those
+    of ``open_store``."""
 
     spark: SparkSession
     root: str
     manifest: dict
+    derived: Callable[[DataFrame], DataFrame] | None = None
+    extra: Sequence[str] = ()
     _opened: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._opened:
-            entry = self.manifest["tables"][name]
+            entry = self.manifest["tables"].get(name) or self._cells()
             schema = T.StructType.fromJson(entry["schema"])
             self._opened[name] = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['path']}")
         return self._opened[name]
 
+    def _cells(self) -> dict:
+        """The entry of the cells, written beside the other tables when they are first asked for; of several
+        writers the first wins."""
+        folder = Folder(self.spark, f"{self.root}/{self.manifest['folder']}")
+        if (text := folder.read(CELLS)) is None:
+            facts = self.derived(self.facts) if self.derived else self.facts
+            cells, name = summarize(facts, extra=self.extra), f"cells-{uuid.uuid4().hex}"
+            cells.write.parquet(f"{folder.path}/{name}")
+            entry = {"path": f"{self.manifest['folder']}/{name}", "schema": cells.schema.jsonValue()}
+            if folder.commit(CELLS, json.dumps(entry)):
+                return entry
+            folder.delete(name)
+            text = folder.read(CELLS)
+        return json.loads(text)
+
     @property
     def facts(self) -> DataFrame:
         return self.table("facts")
@@ -189,8 +226,7 @@ def _write(spark: SparkSession, root: str, facts: DataFrame, derived: Callable[[
         return spark.read.schema(df.schema).parquet(f"{root}/{folder}/{name}")
 
     kept = keep("facts", clustered(facts))
-    cells = keep("cells", summarize(derived(kept) if derived else kept, extra=extra))
-    keep("margins", margins_of(cells, extra), by=["margin"])
+    keep("margins", margins_of(derived(kept) if derived else kept, extra), by=["margin"])
     keep("teams", kept.groupBy("region", "sales_team").agg(F.hll_sketch_agg("account_executive", SKETCH_BITS).alias("reps_sketch")))
     return {"layout": LAYOUT, "folder": folder, "tables": tables}
 
@@ -205,10 +241,10 @@ def open_store(spark: SparkSession, root: str, state: str, facts: Callable[[], D
     if (text := folder.read(name)) is None:
         manifest = {"state": state, **_write(spark, root, facts(), derived, extra)}
         if folder.commit(name, json.dumps(manifest)):
-            return Store(spark, root, manifest)
+            return Store(spark, root, manifest, derived, extra)
         folder.delete(manifest["folder"])
         text = folder.read(name)
-    return Store(spark, root, json.loads(text))
+    return Store(spark, root, json.loads(text), derived, extra)
 
 
 def drop_store(spark: SparkSession, root: str, state: str | None = None) -> bool:

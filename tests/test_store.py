@@ -211,3 +211,21 @@ def test_content_fingerprint_sees_every_edit_and_no_order(spark):
     small = lambda rows: one(spark.createDataFrame(rows, "a string, b string"))
     sets = [[("x", None)], [(None, "x")], [("x", "")], [("x", None)] * 2, [("x", None)] * 3, [], [("xy", "z")], [("x", "yz")]]
     assert len({small(s) for s in sets}) == len(sets)
+
+
+def test_cells_are_written_when_first_asked_for_and_once(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path, "s")
+    folder = tmp_path / store.manifest["folder"]
+    assert store.states().first()["n_rows"] == 1 and not list(folder.glob("cells*"))
+    assert store.states("month_label", "sales_team").first()["n_rows"] == 1
+    monkeypatch.setattr(st, "summarize", lambda *args, **more: pytest.fail("written again"))
+    again = small_store(spark, tmp_path, "s")
+    assert rows(again.table("cells")) == rows(store.table("cells")) and len(list(folder.glob("cells-*"))) == 1
+    assert st.drop_store(spark, str(tmp_path), "s") and not folder.exists()
+
+
+def test_margins_of_facts_equal_those_of_cells(spark, predictions):
+    extra = ["quota_attainment_probability"]
+    facts = predictions.withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
+    direct = margins_of(facts, extra)
+    assert rows(direct) == rows(margins_of(summarize(facts, extra=extra), extra).select(direct.columns))

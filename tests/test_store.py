@@ -229,3 +229,36 @@ def test_margins_of_facts_equal_those_of_cells(spark, predictions):
     facts = predictions.withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
     direct = margins_of(facts, extra)
     assert rows(direct) == rows(margins_of(summarize(facts, extra=extra), extra).select(direct.columns))
+
+
+def test_facts_of_large_sources_are_written_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Half the bytes at a time, and then the shuffle files are gone; every fact is there once."""
+    whole = catalog.facts_plan(spark, SF_SMALL)
+    monkeypatch.setattr(st, "SLICE_BYTES", 60_000)
+    slices = catalog.fact_slices(spark, SF_SMALL)
+    sizes = [s.count() for s in slices]
+    assert len(slices) > 2 and min(sizes) > 0 and sum(sizes) == whole.count()
+    spark.conf.set(st.CLEANUP, "false")
+    seen, write = [], st.clustered
+    monkeypatch.setattr(st, "clustered", lambda df: (seen.append(spark.conf.get(st.CLEANUP)), write(df))[1])
+    try:
+        store = open_store(spark, str(tmp_path), "s", lambda: slices)
+        assert set(seen) == {"true"} and len(seen) == len(slices) and spark.conf.get(st.CLEANUP) == "false"
+    finally:
+        spark.conf.unset(st.CLEANUP)
+    assert rows(store.facts) == rows(whole)
+    assert rows(op.top_metrics(store.states())) == rows(op.top_metrics(whole))
+
+
+def test_a_written_slice_leaves_no_shuffle_files(spark, tmp_path):
+    shuffles = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())
+    of = lambda: {str(b) for b in shuffles() if str(b).startswith("shuffle_")}
+    before = of()
+    with st.shuffles_removed(spark):
+        clustered(catalog.facts_plan(spark, SF_SMALL)).write.parquet(str(tmp_path / "f"))
+    import time
+    until = time.time() + 20  # they go beside the caller
+    while of() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not of() - before
